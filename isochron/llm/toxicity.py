@@ -10,8 +10,8 @@ Each match is weighed by its edit distance and its context window: inside
 quotation marks or after a reporting word it counts little, near a second
 person a bit more. Words that clean training texts use themselves are no
 misspellings, and the rest of the near matches count only beyond the rate at
-which clean training texts have them. A one-variable logistic model turns the
-sum into a score.
+which clean training texts have them. A logistic model turns the sum of the
+weights and its density into a score.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import exp
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,8 @@ from isochron.llm.simhash import fingerprint
 TRAIN_ROWS = 8_000
 TRAIN_CHARS = 60_000_000
 #: A term must be in this share of the distinct toxic texts, and this much likelier there.
-LEAST_SHARE = 0.05
-LEAST_RATIO = 20.0
+LEAST_SHARE = 0.01
+LEAST_RATIO = 8.0
 SCORE_LIMIT = 0.7
 
 _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
@@ -47,7 +47,7 @@ _SECOND = re.compile(r"\b(?:you|your|you're|u|ur|du|dein|tu|toi|vous|usted)\b",
 
 
 def edit_limit(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 8 else 2
+    return 0 if len(term) < 5 else 1 if len(term) < 10 else 2
 
 
 class LexiconAutomaton:
@@ -186,31 +186,35 @@ def context_weight(text: str, start: int, end: int, reach: int = 80) -> float:
 @dataclass
 class ToxicityModel:
     automaton: LexiconAutomaton
+    weights: dict[str, float]
     ordinary: set[str] = field(default_factory=set)  # near forms that clean texts use
-    rate: float = 0.0  # near matches a character in clean texts, others than these
-    slope: float = 4.0
-    intercept: float = -4.0
+    rate: float = 0.0  # weight of other near matches a character in clean texts
+    coefficients: tuple[float, float, float] = (-5.0, 2.0, 2.0)  # constant, sum, density
 
-    def evidence(self, texts: list[str]) -> np.ndarray:
+    def features(self, texts: list[str]) -> np.ndarray:
+        """A row for each text: 1, log of the summed weights, weight per hundred words."""
         sure, near = np.zeros(len(texts)), np.zeros(len(texts))
-        for t, a, b, _, distance in self.automaton.find(texts):
-            weight = context_weight(texts[t], a, b)
+        for t, a, b, term, distance in self.automaton.find(texts):
+            weight = self.weights[self.automaton.terms[term]] * context_weight(texts[t], a, b)
             if distance == 0:
-                sure[t] += 3.0 * weight
+                sure[t] += weight
             elif texts[t][a:b].lower() not in self.ordinary:
-                near[t] += (1.2 if distance == 1 else 0.7) * weight
+                near[t] += (0.4 if distance == 1 else 0.25) * weight
         expected = 3.0 * self.rate * np.array([len(t) for t in texts])
-        return np.minimum(sure + np.maximum(near - expected, 0.0), 6.0) / 3.0
+        total = sure + np.maximum(near - expected, 0.0)
+        words = np.array([t.count(" ") + t.count("\n") + 10 for t in texts])
+        return np.stack([np.ones(len(texts)), np.log1p(total), np.minimum(100 * total / words, 8.0)], axis=1)
 
     def scores(self, texts: list[str]) -> list[float]:
-        return [1 / (1 + exp(-(self.slope * x + self.intercept))) for x in self.evidence(texts).tolist()]
+        z = self.features(texts) @ np.array(self.coefficients)
+        return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
 
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def learn_terms(texts: list[str], toxic: list[bool]) -> list[str]:
-    """Words far likelier in toxic texts than in others; near copies of a text count once."""
+def learn_terms(texts: list[str], toxic: list[bool]) -> dict[str, float]:
+    """Words far likelier in toxic texts than in others, with their weight; near copies of a text count once."""
     seen: list[int] = []
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     total = [0, 0]
@@ -224,34 +228,42 @@ def learn_terms(texts: list[str], toxic: list[bool]) -> list[str]:
         counts[y].update({w for w in _WORD.findall(text.lower()) if len(w) >= 4})
     least = max(3, LEAST_SHARE * total[1])
     ratio = lambda w: (counts[1][w] / (total[1] + 1)) / ((counts[0][w] + 0.5) / (total[0] + 1))
-    return sorted(w for w, n in counts[1].items() if n >= least and ratio(w) >= LEAST_RATIO)
+    return {w: min(3.0, log(ratio(w))) for w, n in sorted(counts[1].items()) if n >= least and ratio(w) >= LEAST_RATIO}
 
 
-def fit(rows: list[tuple[str, int]], terms: list[str] | None = None) -> ToxicityModel:
+def fit(rows: list[tuple[str, int]], terms: dict[str, float] | None = None) -> ToxicityModel:
     """Learn the lexicon (unless given), the ordinary near forms and the score from (text, label) rows."""
     texts, toxic = [t for t, _ in rows], [bool(y) for _, y in rows]
     terms = learn_terms(texts, toxic) if terms is None else terms
-    model = ToxicityModel(LexiconAutomaton(terms))
+    model = ToxicityModel(LexiconAutomaton(list(terms)), terms)
     clean = [t for t, y in zip(texts, toxic, strict=True) if not y]
     forms: dict[str, int] = defaultdict(int)
-    for t, a, b, _, distance in model.automaton.find(clean) if clean else ():
+    rest: dict[str, float] = {}
+    for t, a, b, term, distance in (x for i in range(0, len(clean), 500) for x in _shifted(model.automaton, clean, i, 500)):
         if distance:
-            forms[clean[t][a:b].lower()] += 1
+            form = clean[t][a:b].lower()
+            forms[form] += 1
+            rest[form] = (0.4 if distance == 1 else 0.25) * terms[model.automaton.terms[term]]
     model.ordinary = {f for f, n in forms.items() if n >= 2}
-    model.rate = sum(n for n in forms.values() if n == 1) / max(1, sum(map(len, clean)))
+    model.rate = sum(w for f, w in rest.items() if forms[f] == 1) / max(1, sum(map(len, clean)))
     if rows and any(toxic) and not all(toxic):
-        x, y = model.evidence(texts), np.array(toxic, dtype=float)
-        w, b = 4.0, -4.0
-        for _ in range(50):  # Newton's method with a weak pull towards the start
-            p = 1 / (1 + np.exp(-(w * x + b)))
-            r = p * (1 - p)
-            g = np.array([((p - y) * x).sum() + 0.5 * (w - 4), (p - y).sum() + 0.5 * (b + 4)])
-            h = np.array([[(r * x * x).sum() + 0.5, (r * x).sum()], [(r * x).sum(), r.sum() + 0.5]])
-            w, b = np.array([w, b]) - np.linalg.solve(h, g)
-        model.slope, model.intercept = float(w), float(b)
+        x = np.concatenate([model.features(texts[i : i + 500]) for i in range(0, len(texts), 500)])
+        y, w0 = np.array(toxic, dtype=float), np.array(model.coefficients)
+        w = w0.copy()
+        pull = np.diag([0.01, 0.5, 0.5])
+        for _ in range(60):  # Newton's method with a weak pull towards the start
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull, x.T @ (p - y) + pull @ (w - w0))
+            w = w - np.clip(step, -2, 2)
+        model.coefficients = tuple(float(v) for v in w)
     return model
 
 
+def _shifted(automaton: LexiconAutomaton, texts: list[str], first: int, n: int) -> Iterator[tuple[int, int, int, int, int]]:
+    for t, *rest in automaton.find(texts[first : first + n]):
+        yield (t + first, *rest)
+
+
 def is_held_out(doc_id: Column) -> Column:
     """Rows never learned from: crc32 of the id as text leaves 1 modulo 3. A null id counts as the text ""."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
