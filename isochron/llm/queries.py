@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from isochron.llm import decontaminate, line_quality, packing, pii, secret_scan, simhash, toxicity, url_filter
+from isochron.llm import decontaminate, html_extract, line_quality, packing, pii, quality_lm, secret_scan, simhash, toxicity, url_filter
 
 RULES = [
     url_filter.Rule("block", "net"),
@@ -40,10 +40,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op5_simhash(_read(spark, sf_dir, "documents"))
 
 
+def op6_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lm.op6_quality_lm(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.op7_secrets(_read(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.op8_html(_read(spark, sf_dir, "pages"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_read(spark, sf_dir, "pages"), RULES)
 
@@ -53,7 +61,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_line_quality, op4_decontaminate, op5_simhash, op7_secrets, op9_url_filter, op10_pii)}
+    return {f.__name__: f for f in (op1_packing, op2_toxicity, op3_line_quality, op4_decontaminate, op5_simhash, op6_quality_lm, op7_secrets, op8_html, op9_url_filter, op10_pii)}
 
 
 _REST = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
