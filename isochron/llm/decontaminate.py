@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isochron.llm import words as W
+from isochron.operators.selection import without_keys
 from isochron.plans.runtime import cut_lineage
 
 #: Benchmark words in one shard of the index, which bounds what is shipped to a task.
@@ -207,6 +208,15 @@ def _marker(prefixes: dict, keep_text: bool):
     return run
 
 
+def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` without the rows whose id has a hit in ``mark_contamination``; rows with a null id stay.
+
+    The hits are joined by id: as few rows as there are contaminated documents.
+    """
+    hit = mark_contamination(docs, bench, id_col=id_col, **options).where(F.size("hits") > 0)
+    return without_keys(docs, hit.select(id_col))
+
+
 def op4_decontaminate(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """Counts and the digest of the items found, from ``mark_contamination``."""
     m = mark_contamination(docs, bench)

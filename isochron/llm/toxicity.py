@@ -283,27 +283,41 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     return fit(rows)
 
 
+def _batch_scores(col: pa.Array, model: ToxicityModel) -> list[float]:
+    scores: list[float] = []
+    held: list[str] = []
+    total = 0
+    for t in col:
+        text = t.as_py() or ""
+        if held and total + len(text) > 2_000_000:
+            scores += model.scores(held)
+            held, total = [], 0
+        held.append(text)
+        total += len(text)
+    return scores + (model.scores(held) if held else [])
+
+
 def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every row. Null and empty texts score as texts without a match; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            scores: list[float] = []
-            held: list[str] = []
-            total = 0
-            for t in b.column(1):
-                text = t.as_py() or ""
-                if held and total + len(text) > 2_000_000:
-                    scores += model.scores(held)
-                    held, total = [], 0
-                held.append(text)
-                total += len(text)
-            scores += model.scores(held) if held else []
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=[id_col, "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_batch_scores(b.column(1), model), pa.float64())], names=[id_col, "score"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
 
 
+def keep_civil(docs: DataFrame, model: ToxicityModel, limit: float = SCORE_LIMIT, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below ``limit``, with all their columns."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([s < limit for s in _batch_scores(b.column(at), model)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted (1 from 0.7 on).
 
