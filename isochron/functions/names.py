@@ -62,8 +62,10 @@ def is_shouting(text: Column) -> Column:
 
 
 def slug(text: Column) -> Column:
-    """Lower-case ASCII letters and digits, runs of anything else one dash, no dash at the ends."""
-    return F.regexp_replace(F.regexp_replace(fold_accents(F.lower(text)), "[^a-z0-9]+", "-"), "^-|-$", "")
+    """Lower-case ASCII letters and digits; blanks, dashes and underscores as single inner dashes; the rest dropped."""
+    dashed = F.regexp_replace(fold_accents(F.lower(text)), "[ _–-]", "-")
+    plain = F.regexp_replace(F.regexp_replace(dashed, "[^a-z0-9-]", ""), "-+", "-")
+    return F.regexp_replace(plain, "^-|-$", "")
 
 
 def natural_key(label: Column) -> Column:
