@@ -168,7 +168,7 @@ def majority_vote(spark: SparkSession, d: str) -> DataFrame:
     return coverage.majority(table(spark, d, "orders"), ["o_custkey"], "o_orderpriority")
 
 
-@register("first_last_by_seq", "SELECT l_orderkey, arg_min(l_partkey, l_linenumber * 1000000000 + l_partkey) AS first_part, arg_max(l_partkey, l_linenumber * 1000000000 + l_partkey) AS last_part, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_orderkey")
+@register("first_last_by_seq", "SELECT l_orderkey, arg_min(l_partkey, l_linenumber::BIGINT * 1000000000 + l_partkey) AS first_part, arg_max(l_partkey, l_linenumber::BIGINT * 1000000000 + l_partkey) AS last_part, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_orderkey")
 def first_last_by_seq(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     return li.groupBy("l_orderkey").agg(
