@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are taken together up to so many bytes; one longer text is taken alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def separators(*ranges: tuple[int, int]) -> np.ndarray:
