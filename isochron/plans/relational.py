@@ -95,7 +95,7 @@ def mask_explains(spark: SparkSession, d: str) -> DataFrame:
     return m.select("event_type", masks.explains(F.col("w"), F.col("p")).alias("whole_explains_part"))
 
 
-@register("route_mask_union", f"SELECT 'all' AS grp, list_aggregate([{', '.join(f'''printf('%06x', coalesce(bit_or(CASE WHEN day = {i} THEN 1 << hour END), 0))''' for i in range(7))}], 'string_agg', '') AS acts FROM ({_CELLS} WHERE value > 470)")
+@register("route_mask_union", f"SELECT 'all' AS grp, list_aggregate([{', '.join(f'''printf('%06x', coalesce(bit_or(CASE WHEN day = {i} THEN 1 << hour END), 0))''' for i in range(7))}], 'string_agg', '') AS acts FROM ({_CELLS} WHERE value > 470) GROUP BY 1")
 def route_mask_union(spark: SparkSession, d: str) -> DataFrame:
     c = _cells(spark, d).where("value > 470")
     m = c.groupBy("event_type").agg(masks.collect_mask(F.col("day"), F.col("hour")).alias("mask"))
