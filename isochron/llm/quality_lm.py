@@ -7,7 +7,9 @@ corpus. Every task counts the n-grams of its own trusted texts, the counts are
 summed in shards by n-gram, and the finished table, whose size that bound
 proves, is joined to the n-grams of all documents inside the tasks. A document
 is kept if its perplexity is at most a quantile of those of the trusted
-documents of its language.
+documents of its language. The quantile is taken over perplexities that a model
+of the other half of the trusted documents gives, as a model flatters the texts
+it has seen.
 """
 
 from __future__ import annotations
@@ -71,24 +73,29 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return g[own], np.cumsum(size) - size
 
 
-def count_grams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Counts of all n-grams of the texts as an array of ALPHABET ** ORDER."""
+def count_grams(docs: DataFrame, text_col: str = "text", fold_col: str | None = None) -> np.ndarray:
+    """Counts of all n-grams of the texts by fold (0 or 1): an array of 2 x ALPHABET ** ORDER."""
     cells = ALPHABET**ORDER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, dtype=np.int64)
+        total = np.zeros((2, cells), dtype=np.int64)
         for b in batches:
-            for texts in _runs(b.column(0)):
-                total += np.bincount(_grams(texts)[0], minlength=cells)
-        at = np.flatnonzero(total)
-        for lo in range(0, len(at), 100_000):
-            part = at[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part])], names=["gram", "n"])
-
-    summed = docs.select(text_col).mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    out = np.zeros(cells, dtype=np.int64)
-    for part in summed.toPandas().itertuples(index=False):  # at most ALPHABET ** ORDER rows
-        out[part.gram] = part.n
+            fold = b.column(1).to_numpy()
+            for k in (0, 1):
+                for texts in _runs(b.column(0).filter(pa.array(fold == k))):
+                    total[k] += np.bincount(_grams(texts)[0], minlength=cells)
+        for k in (0, 1):
+            at = np.flatnonzero(total[k])
+            for lo in range(0, len(at), 100_000):
+                part = at[lo : lo + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part * 2 + k, pa.int64()), pa.array(total[k][part])], names=["gram", "n"])
+
+    fold = F.lit(0) if fold_col is None else F.col(fold_col)
+    summed = docs.select(text_col, fold.cast("int").alias("_fold")).mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    out = np.zeros((2, cells), dtype=np.int64)
+    table = summed.toArrow()  # at most 2 * ALPHABET ** ORDER rows
+    gram = table["gram"].to_numpy()
+    out[gram % 2, gram // 2] = table["n"].to_numpy()
     return out
 
 
@@ -137,25 +144,36 @@ def kneser_ney(counts: np.ndarray, alphabet: int = ALPHABET, order: int = ORDER)
     return p.reshape(-1)
 
 
-def perplexities(docs: DataFrame, log_p: np.ndarray, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
-    """The ``keep`` columns, n_scored (characters) and perplexity (null without characters) of every row."""
+def perplexities(docs: DataFrame, log_p: np.ndarray, keep: tuple[str, ...], text_col: str = "text", fold_col: str = "_fold") -> DataFrame:
+    """The ``keep`` columns, n_scored (characters), perplexity and held_out of every row; null without characters.
+
+    ``log_p`` has a table for all trusted texts, for fold 0 and for fold 1; held_out
+    is the perplexity under the fold that the row isn't in.
+    """
     table = log_p.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, ppl = [], []
+            sizes, means = [np.zeros(0, dtype=np.int64)], [np.zeros((len(table), 0))]
             for texts in _runs(b.column(len(keep))):
                 g, first = _grams(texts)
-                total = np.concatenate([[0.0], np.cumsum(table[g], dtype=np.float64)])
                 size = np.diff(np.append(first, len(g)))
-                mean = (total[first + size] - total[first]) / np.maximum(size, 1)
-                n += size.tolist()
-                ppl += [float(np.exp(-m)) if k else None for m, k in zip(mean, size, strict=True)]
+                part = np.zeros((len(table), len(texts)))
+                for k, t in enumerate(table):
+                    total = np.concatenate([[0.0], np.cumsum(t[g], dtype=np.float64)])
+                    part[k] = (total[first + size] - total[first]) / np.maximum(size, 1)
+                sizes.append(size)
+                means.append(part)
+            n, mean = np.concatenate(sizes), np.concatenate(means, axis=1)
+            other = 2 - b.column(len(keep) + 1).to_numpy()
+            own = np.exp(-mean[0])
+            held = np.exp(-mean[other, np.arange(len(n))])
+            none = n == 0
             cols = [b.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(ppl, pa.float64())], names=[*keep, "n_scored", "perplexity"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(n), pa.array(own, mask=none), pa.array(held, mask=none)], names=[*keep, "n_scored", "perplexity", "held_out"])
 
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, text_col).mapInArrow(run, f"{types}, n_scored bigint, perplexity double")
+    return docs.select(*keep, text_col, F.col(fold_col).cast("int").alias(fold_col)).mapInArrow(run, f"{types}, n_scored bigint, perplexity double, held_out double")
 
 
 def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -170,10 +188,12 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) ->
     ids = trusted.where("doc_id IS NOT NULL").select("doc_id").distinct()
     few = ids.count() <= BROADCAST_IDS
     own = F.broadcast(ids) if few else ids.hint("shuffle_hash")
-    log_p = np.log(kneser_ney(count_grams(docs.join(own, "doc_id", "left_semi"))))
-    scored = cut_lineage(perplexities(docs.select("doc_id", "lang", "text"), log_p, ("doc_id", "lang")))  # four numbers a row
+    folded = docs.select("doc_id", "lang", "text").withColumn("_fold", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+    counts = count_grams(folded.join(own, "doc_id", "left_semi"), fold_col="_fold")
+    log_p = np.log(np.stack([kneser_ney(c) for c in (counts.sum(axis=0), *counts)]))
+    scored = cut_lineage(perplexities(folded, log_p, ("doc_id", "lang")))  # five numbers a row
     good = scored.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").where("perplexity IS NOT NULL")
-    at = lambda: F.percentile_approx("perplexity", quantile, 10_000)
+    at = lambda: F.percentile_approx("held_out", quantile, 10_000)
     # One row for each language.
     by_lang = good.groupBy(F.coalesce("lang", F.lit("")).alias("_lang")).agg(at().alias("_own"))
     overall = good.agg(at()).first()[0]
