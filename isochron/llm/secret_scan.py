@@ -176,14 +176,21 @@ def infer_automata(labelled: list[tuple[str, str]]) -> dict[str, Automaton]:
     return {k: Automaton(v) for k, v in by.items()}
 
 
+def _ordinary(text: str) -> str:
+    """``text`` without the tokens that are candidates themselves."""
+    if not _DIGIT.search(text):
+        return text
+    return _TOKEN.sub(lambda m: " " if _DIGIT.search(m[0]) else m[0], text)
+
+
 def pair_bits(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """log2 P(b | a) of adjacent lower-cased bytes over all texts (128 x 128; non-ASCII bytes count as 0)."""
+    """log2 P(b | a) of adjacent lower-cased bytes over all texts but for candidates (128 x 128; non-ASCII bytes count as 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(128 * 128, dtype=np.int64)
         for b in batches:
             for t in b.column(0):
-                x = np.frombuffer((t.as_py() or "").encode().lower(), dtype=np.uint8).astype(np.int32)
+                x = np.frombuffer(_ordinary(t.as_py() or "").encode().lower(), dtype=np.uint8).astype(np.int32)
                 x[x > 127] = 0
                 total += np.bincount(x[:-1] * 128 + x[1:], minlength=128 * 128) if len(x) > 1 else 0
         at = np.flatnonzero(total)
