@@ -29,6 +29,8 @@ ALPHABET = 40
 QUANTILE = 0.995
 #: Trusted ids are broadcast up to this many (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
+#: Thresholds are broadcast up to this many languages.
+BROADCAST_LANGUAGES = 100_000
 
 _ASCII_OTHER, _BLANK, _LINE, _DIGIT, _STOP, _SYMBOL, _CAPITAL, _LETTER = 32, 27, 28, 29, 30, 31, 26, 33
 _TABLE = 0x600
@@ -194,8 +196,9 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) ->
     scored = cut_lineage(perplexities(folded, log_p, ("doc_id", "lang")))  # five numbers a row
     good = scored.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").where("perplexity IS NOT NULL")
     at = lambda: F.percentile_approx("held_out", quantile, 10_000)
-    # One row for each language.
-    by_lang = good.groupBy(F.coalesce("lang", F.lit("")).alias("_lang")).agg(at().alias("_own"))
+    by_lang = cut_lineage(good.groupBy(F.coalesce("lang", F.lit("")).alias("_lang")).agg(at().alias("_own")))
+    if by_lang.count() <= BROADCAST_LANGUAGES:  # else a join that can split a frequent language
+        by_lang = F.broadcast(by_lang)
     overall = good.agg(at()).first()[0]
     out = scored.join(by_lang, F.coalesce("lang", F.lit("")) == F.col("_lang"), "left")
     threshold = F.coalesce("_own", F.lit(overall).cast("double"), F.lit(float("inf")))
