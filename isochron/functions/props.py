@@ -26,7 +26,7 @@ def route_list(value: Column) -> Column:
     """Routes of a comma list or a JSON array: trimmed, without empty ones."""
     parsed = F.from_json(value, "array<string>")
     listed = F.when(F.trim(value).startswith("["), parsed).otherwise(F.split(value, ","))
-    return F.coalesce(F.filter(F.transform(listed, F.trim), lambda x: x != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(listed, lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def acts_index(routes: Column, masks: Column) -> Column:

@@ -169,7 +169,7 @@ def adjusted_shapes(shapes: DataFrame, new: DataFrame) -> DataFrame:
     """A feed's shape rows with those of matched shapes replaced; ``new`` (shape_id, points) in feed ids."""
     kept = shapes.join(new.select("shape_id").distinct(), "shape_id", "left_anti")
     rows = new.select("shape_id", F.posexplode("points").alias("i", "p"))
-    fmt = lambda c: F.format_number(c, "0.0000000")
+    fmt = lambda c: F.format_string("%.7f", c)
     added = rows.select("shape_id", fmt(F.col("p.lat")).alias("shape_pt_lat"), fmt(F.col("p.lon")).alias("shape_pt_lon"), (F.col("i") + 1).cast("string").alias("shape_pt_sequence"))
     return kept.unionByName(added)
 
