@@ -41,9 +41,9 @@ BASE = (
 )
 #: Reported when prior plus context reaches the threshold.
 ADDED = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", "mod97", 0.8, "iban|account|konto|bank"),
-    Kind("tel", r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])", r"[0-9]{3}[ .-][0-9]{4}", "any", 0.3, "tel|phone|call|fax|mobile"),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-", "any", 0.3, "ssn|social|security"),
+    Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}\b", r"[A-Z]{2}[0-9]{2}", "mod97", 0.8, "iban|account|konto|bank"),
+    Kind("tel", r"\b[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}\b", r"[0-9]{3}[ .-][0-9]{4}", "any", 0.3, "tel|phone|call|fax|mobile"),
+    Kind("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", r"[0-9]{3}-[0-9]{2}-", "any", 0.3, "ssn|social|security"),
 )
 #: Code points before a span in which context words count.
 CONTEXT_CHARS = 40
