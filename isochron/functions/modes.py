@@ -39,12 +39,29 @@ def is_drawable(route_type: Column) -> Column:
 
 @dataclass(frozen=True)
 class ClassStyle:
-    """Policy of a class: how its routes are grouped, whether hidden, from which zoom band on."""
+    """Policy of a class: how its routes are grouped, whether hidden, from which zoom band on, and how they are drawn."""
 
     trunk: str = "color"  # color, agency, route, intercity or none
     hidden: bool = False
     band_floor: int = 0
     color: str = ""
+    width: float = 1.0
+    opacity: float = 1.0
+
+
+# Policies of the classes before any curation.
+DEFAULT_CLASSES = {
+    "metro": ClassStyle("color"),
+    "tram": ClassStyle("color", width=0.75),
+    "regional": ClassStyle("agency"),
+    "monorail": ClassStyle("color", width=0.85),
+    "funicular": ClassStyle("route", width=0.7),
+    "cable": ClassStyle("route", width=0.75),
+    "aerial": ClassStyle("route", width=0.6, opacity=0.75),
+    "ferry": ClassStyle("route", band_floor=13, color="4A9EDB", width=0.7, opacity=0.65),
+    "bus": ClassStyle("none", band_floor=15, color="888888", width=0.5, opacity=0.9),
+    "unknown": ClassStyle("color"),
+}
 
 
 @dataclass(frozen=True)

@@ -70,6 +70,22 @@ def exclude_lines(points: DataFrame, line: str, boxes: list[list[float]], least_
     return clip_lines(points, line, outside, least_km, "#exc")
 
 
+def trim_segments(points: DataFrame, seg: str, kind: str, keep: Column, least: float = 1.0) -> DataFrame:
+    """Drawn segments (seg, kind, seq, x, y) cut to where ``keep`` holds: runs become pieces ``<seg>#N`` at least ``least`` long.
+
+    Transitions stay whole or go by their middle point.
+    """
+    n = F.count("*").over(W.partitionBy(seg))
+    i = F.row_number().over(W.partitionBy(seg).orderBy("seq")) - 1
+    df = points.withColumn("_in", F.coalesce(keep, F.lit(False))).withColumns({"_n": n, "_i": i})
+    middle = F.max(F.when(F.col("_i") == F.floor(F.col("_n") / 2), F.col("_in"))).over(W.partitionBy(seg))
+    whole = df.where(F.col(kind) == "transition").withColumn("_mid", middle).where("_mid").drop("_in", "_n", "_i", "_mid")
+    runs = islands(df.where(F.col(kind) != "transition"), [seg], ["seq"], "_in").withColumn("_k", F.concat(F.col(seg), F.lit("#"), F.col("run").cast("string")))
+    sized = arc_length(runs, ["_k"]).withColumn("_len", F.max("arc").over(W.partitionBy("_k"))).where(F.col("_len") >= least)
+    pieces = sized.withColumn(seg, F.col("_k")).drop("_in", "_n", "_i", "_k", "_len", "arc", "run")
+    return pieces.unionByName(whole)
+
+
 def resample(points: DataFrame, line: list[str], step: float) -> DataFrame:
     """(line, i, x, y, arc): points at equal spacing of about ``step`` along each line, both ends kept."""
     withend = arc_length(points, line)

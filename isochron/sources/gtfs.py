@@ -234,4 +234,5 @@ def subset_by_agency(feed: Feed, agencies: list[str]) -> dict[str, DataFrame]:
     out["stops"] = used.unionByName(parents).dropDuplicates(["stop_id"])
     both = out["stops"].select("stop_id")
     out["transfers"] = feed.table("transfers").join(both.withColumnRenamed("stop_id", "from_stop_id"), "from_stop_id", "left_semi").join(both.withColumnRenamed("stop_id", "to_stop_id"), "to_stop_id", "left_semi")
+    out = {name: df.select(*TABLES[name]) for name, df in out.items()}
     return out
