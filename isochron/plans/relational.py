@@ -18,7 +18,7 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumns({"day": F.weekday("ts"), "hour": F.hour("ts")}).withColumn("cell", clock.hour_of_week(F.col("day"), F.col("hour")))
 
 
-_CELLS = "SELECT *, isodow(ts) - 1 AS day, hour(ts) AS hour, (isodow(ts) - 1) * 24 + hour(ts) AS cell FROM events"
+_CELLS = "SELECT *, (isodow(ts) - 1)::INTEGER AS day, hour(ts)::INTEGER AS hour, ((isodow(ts) - 1) * 24 + hour(ts))::INTEGER AS cell FROM events"
 
 
 @register("activity_histogram", f"SELECT event_type, day, hour, count(*) AS n FROM ({_CELLS}) GROUP BY ALL")
@@ -102,7 +102,7 @@ def route_mask_union(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy(F.lit("all").alias("grp")).agg(masks.to_hex(masks.merge_masks(F.col("mask"))).alias("acts"))
 
 
-@register("dated_weights", "SELECT o_orderpriority, isodow(o_orderdate) - 1 AS weekday, count(*) AS weight FROM orders GROUP BY ALL")
+@register("dated_weights", "SELECT o_orderpriority, (isodow(o_orderdate) - 1)::INTEGER AS weekday, count(*) AS weight FROM orders GROUP BY ALL")
 def dated_weights(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_orderpriority", F.date_format("o_orderdate", "yyyyMMdd").alias("date"))
     return o.groupBy("o_orderpriority", clock.service_date_weekday(F.col("date")).alias("weekday")).agg(F.count("*").alias("weight"))
@@ -201,7 +201,7 @@ def key_set_hash(spark: SparkSession, d: str) -> DataFrame:
     "symdiff_cells",
     f"""
 WITH a AS (SELECT DISTINCT user_id, cell FROM ({_CELLS}) WHERE event_type = 'view'), b AS (SELECT DISTINCT user_id, cell FROM ({_CELLS}) WHERE event_type = 'click')
-SELECT coalesce(a.user_id, b.user_id) AS user_id, sum(CASE WHEN a.cell IS NULL OR b.cell IS NULL THEN 1 ELSE 0 END) AS diff
+SELECT coalesce(a.user_id, b.user_id) AS user_id, sum(CASE WHEN a.cell IS NULL OR b.cell IS NULL THEN 1 ELSE 0 END)::BIGINT AS diff
 FROM a FULL JOIN b ON a.user_id = b.user_id AND a.cell = b.cell GROUP BY 1""",
 )
 def symdiff_cells(spark: SparkSession, d: str) -> DataFrame:
@@ -247,7 +247,7 @@ def _track(spark: SparkSession, d: str) -> DataFrame:
     return e.select("user_id", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("seq"), (F.dayofmonth("ts") * 24.0 + F.hour("ts")).alias("x"), F.col("value").alias("y"))
 
 
-_TRACK = "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, day(ts) * 24.0 + hour(ts) AS x, value AS y FROM events"
+_TRACK = "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INTEGER AS seq, day(ts) * 24.0 + hour(ts) AS x, value AS y FROM events"
 
 
 @register(
@@ -530,7 +530,7 @@ def shouting(spark: SparkSession, d: str) -> DataFrame:
 @register(
     "natural_sort",
     """WITH s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE cast(s_suppkey * 7 AS VARCHAR) END AS label, s_nationkey FROM supplier)
-SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY try_cast(label AS BIGINT) IS NULL, try_cast(label AS BIGINT), label, s_suppkey) AS place FROM s""",
+SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY try_cast(label AS BIGINT) IS NULL, try_cast(label AS BIGINT), label, s_suppkey)::INTEGER AS place FROM s""",
 )
 def natural_sort(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").withColumn("label", F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).otherwise((F.col("s_suppkey") * 7).cast("string")))

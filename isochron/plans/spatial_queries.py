@@ -43,7 +43,7 @@ def nearest_line(spark: SparkSession, d: str) -> DataFrame:
     return spatial.nearest(j, ["id"], ["seg"]).select("id", "seg", F.round("dist", 9).alias("dist"))
 
 
-@register("ink_retention", f"{_PAIR} SELECT label, count(*) AS samples, sum(CASE WHEN near THEN 1 ELSE 0 END) AS hits FROM (SELECT e.label, coalesce(min(d.dist) <= 0.02, false) AS near FROM embeddings e JOIN d ON d.id = e.vec_id GROUP BY e.vec_id, e.label) GROUP BY label")
+@register("ink_retention", f"{_PAIR} SELECT label, count(*) AS samples, sum(CASE WHEN near THEN 1 ELSE 0 END)::BIGINT AS hits FROM (SELECT e.label, coalesce(min(d.dist) <= 0.02, false) AS near FROM embeddings e JOIN d ON d.id = e.vec_id GROUP BY e.vec_id, e.label) GROUP BY label")
 def ink_retention(spark: SparkSession, d: str) -> DataFrame:
     pts = _points(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
     return spatial.coverage_share(pts, _segments(spark, d), 0.02, ["label"], ["id"]).select("label", "samples", "hits")
@@ -123,7 +123,7 @@ def box_overlap(spark: SparkSession, d: str) -> DataFrame:
     return x.join(b, (F.col("k1") < F.col("k")) & meet).select(F.col("k1").alias("a"), F.col("k").alias("b"))
 
 
-_TRACK = "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, day(ts) * 24.0 + hour(ts) AS x, value AS y FROM events"
+_TRACK = "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INTEGER AS seq, day(ts) * 24.0 + hour(ts) AS x, value AS y FROM events"
 
 
 def _track(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +153,7 @@ def gaussian_series(spark: SparkSession, d: str) -> DataFrame:
 
 @register("window_runs", """WITH o AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity > 10 AS keep, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem),
 f AS (SELECT l_orderkey, i, i - row_number() OVER (PARTITION BY l_orderkey ORDER BY i) AS g FROM o WHERE keep)
-SELECT l_orderkey, min(i) AS first, max(i) AS last FROM f GROUP BY l_orderkey, g""")
+SELECT l_orderkey, min(i)::INTEGER AS first, max(i)::INTEGER AS last FROM f GROUP BY l_orderkey, g""")
 def window_runs(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     o = li.select("l_orderkey", (F.col("l_quantity") > 10).alias("keep"), F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).alias("i"))
