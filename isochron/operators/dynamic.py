@@ -98,3 +98,8 @@ def apply_instant(segments: DataFrame, default_pitch: float = 6.0) -> DataFrame:
         F.when(turn & F.col("_from").isNotNull(), sign("_from", "sx", "sy")).otherwise(F.col("off_from_px")).alias("off_from_px"),
         F.when(turn & F.col("_to").isNotNull(), sign("_to", "ex", "ey")).otherwise(F.col("off_to_px")).alias("off_to_px"),
     )
+
+
+def serve_band(features: DataFrame, band: int) -> DataFrame:
+    """Features that begin in a band, and those without one (``band_min`` null)."""
+    return features.where(F.col("band_min").isNull() | (F.col("band_min") == band))

@@ -265,3 +265,48 @@ def iter_lines(points: pd.DataFrame, line: str) -> Iterator[tuple[object, np.nda
     """(line, ordered points) of a small local table."""
     for k, g in points.sort_values([line, "seq"]).groupby(line, sort=True):
         yield k, g[["x", "y"]].to_numpy(float)
+
+
+def points_at(points: DataFrame, line: list[str], arcs: DataFrame) -> DataFrame:
+    """(line, arc, x, y): the place at each arc of ``arcs`` (line, arc); arcs beyond the ends give the ends."""
+    w = W.partitionBy(*line).orderBy("seq")
+    seg = arc_length(points, line).select(
+        *line, F.col("arc").alias("_a"), F.lead("arc").over(w).alias("_b"), "x", "y", F.lead("x").over(w).alias("_x"), F.lead("y").over(w).alias("_y"),
+        (F.row_number().over(w) == 1).alias("_first"), F.lead("arc", 2).over(w).isNull().alias("_last"),
+    ).where("_b IS NOT NULL")
+    at = F.col("arc")
+    here = ((at >= F.col("_a")) | F.col("_first")) & ((at < F.col("_b")) | F.col("_last"))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (at - F.col("_a")) / F.nullif(F.col("_b") - F.col("_a"), F.lit(0.0))))
+    t = F.coalesce(t, F.lit(0.0))
+    return arcs.join(seg, line).where(here).select(*line, "arc", (F.col("x") + t * (F.col("_x") - F.col("x"))).alias("x"), (F.col("y") + t * (F.col("_y") - F.col("y"))).alias("y"))
+
+
+def tangents(samples: DataFrame, line: list[str], order: str = "i") -> DataFrame:
+    """Adds unit ``tx``, ``ty`` from the sample before to the one after."""
+    w = W.partitionBy(*line).orderBy(order)
+    ax, ay = F.coalesce(F.lag("x").over(w), F.col("x")), F.coalesce(F.lag("y").over(w), F.col("y"))
+    bx, by = F.coalesce(F.lead("x").over(w), F.col("x")), F.coalesce(F.lead("y").over(w), F.col("y"))
+    n = F.nullif(F.hypot(bx - ax, by - ay), F.lit(0.0))
+    return samples.withColumns({"tx": (bx - ax) / n, "ty": (by - ay) / n})
+
+
+def cross_sections(samples: DataFrame, segs: DataFrame, reach: float) -> DataFrame:
+    """Pairs of a sample (x, y, tx, ty) and a segment that its perpendicular meets within ``reach``, with signed ``offset``."""
+    from isochron.operators import spatial
+
+    near = spatial.near_segments(samples, segs, reach)
+    nx, ny = -F.col("ty"), F.col("tx")
+    dx, dy = F.col("bx_r") - F.col("ax_r"), F.col("by_r") - F.col("ay_r")
+    den = dx * ny - dy * nx
+    t = ((F.col("x") - F.col("ax_r")) * ny - (F.col("y") - F.col("ay_r")) * nx) / F.nullif(den, F.lit(0.0))
+    off = (F.col("ax_r") + t * dx - F.col("x")) * nx + (F.col("ay_r") + t * dy - F.col("y")) * ny
+    return near.withColumn("_t", t).withColumn("offset", off).where(F.col("_t").between(0, 1) & (F.abs("offset") <= reach)).drop("_t", "dist", "t")
+
+
+def strand_clusters(offsets: DataFrame, key: list[str], gap: float = 4.5) -> DataFrame:
+    """(key, strands): means of runs of a sample's sorted offsets that are at most ``gap`` apart."""
+    w = W.partitionBy(*key).orderBy("offset")
+    new = F.when(F.coalesce(F.col("offset") - F.lag("offset").over(w) > gap, F.lit(True)), 1).otherwise(0)
+    g = offsets.select(*key, "offset").withColumn("_new", new).withColumn("_c", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    means = g.groupBy(*key, "_c").agg(F.avg("offset").alias("m"))
+    return means.groupBy(*key).agg(F.array_sort(F.collect_list("m")).alias("strands"))

@@ -289,3 +289,78 @@ def match_patterns(patterns: DataFrame, ways: DataFrame, cfg: MatchConfig = Matc
 
     out = "city string, route_id string, shape_id string, way_ids array<string>, length double, gap double, points array<struct<x:double,y:double>>"
     return p.groupBy("city").cogroup(ways.groupBy("city")).applyInPandas(run, out)
+
+
+def chain_ways(ways: list[tuple[str, np.ndarray]], weld: float = 0.6) -> list[tuple[list[str], np.ndarray]]:
+    """Join ways (id, points) where exactly two meet end to end; (ids, points) of each strand, by first id."""
+    key = lambda p: (round(p[0] / weld), round(p[1] / weld))
+    ways = sorted(ways, key=lambda w: w[0])
+    at: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
+    for i, (_, p) in enumerate(ways):
+        at[key(p[0])].append((i, 0))
+        at[key(p[-1])].append((i, 1))
+    used: set[int] = set()
+
+    def grow(i: int, end: int) -> list[tuple[int, bool]]:
+        """Ways after way i beyond its end (1) or start (0): (way, reversed)."""
+        out = []
+        while True:
+            k = key(ways[i][1][-1 if end else 0])
+            nxt = [x for x in at[k] if x != (i, end)]
+            if len(at[k]) != 2 or len(nxt) != 1 or nxt[0][0] in used:
+                return out
+            i, e = nxt[0]
+            used.add(i)
+            out.append((i, e == 1))
+            end = 1 - e
+
+    strands = []
+    for i, (wid, p) in enumerate(ways):
+        if i in used:
+            continue
+        used.add(i)
+        after, before = grow(i, 1), grow(i, 0)
+        chain = [(j, not r) for j, r in reversed(before)] + [(i, False)] + after
+        pts = [ways[j][1][::-1] if r else ways[j][1] for j, r in chain]
+        strands.append(([ways[j][0] for j, _ in chain], np.concatenate([pts[0], *[q[1:] for q in pts[1:]]])))
+    return strands
+
+
+def snap_endpoints(ways: list[tuple[str, np.ndarray]], reach: float = 2.0) -> list[tuple[str, np.ndarray]]:
+    """Ways with a vertex put into a segment wherever another way ends within ``reach`` of it, so that they join there."""
+    ways = sorted(ways, key=lambda w: w[0])
+    out = []
+    for wid, p in ways:
+        joints = []
+        for other, q in ways:
+            if other == wid:
+                continue
+            for end in (q[0], q[-1]):
+                d, arc, _ = _project(end, p)
+                total = arc_of(p)[-1]
+                if d <= reach and reach < arc < total - reach:
+                    joints.append((arc, end))
+        a = arc_of(p)
+        rows = sorted([*((s, 1, tuple(v)) for s, v in joints), *((s, 0, tuple(v)) for s, v in zip(a, p, strict=True))])
+        pts = [r[2] for r in rows]
+        out.append((wid, np.array([v for i, v in enumerate(pts) if i == 0 or v != pts[i - 1]])))
+    return out
+
+
+def heal_breaks(ends: list[tuple[np.ndarray, np.ndarray]], reach: float = 5.0, facing: float = 0.7) -> list[tuple[int, int]]:
+    """Pairs of dead ends (place, outward direction) to weld: near, facing each other, each once, in order of index."""
+    used: set[int] = set()
+    out = []
+    for i, (p, u) in enumerate(ends):
+        if i in used:
+            continue
+        best = None
+        for j in range(i + 1, len(ends)):
+            q, v = ends[j]
+            d = float(np.hypot(*(q - p)))
+            if j not in used and d <= reach and -float(_unit(u) @ _unit(v)) >= facing and (best is None or d < best[0]):
+                best = (d, j)
+        if best:
+            used |= {i, best[1]}
+            out.append((i, best[1]))
+    return out

@@ -491,6 +491,65 @@ def simplify_network(net: Network, cfg: NetworkConfig = NetworkConfig()) -> Netw
     return net
 
 
+def trim_edge_ends(net: Network) -> None:
+    """Cut each edge to its closest approach to its end nodes and end it there."""
+    for e in net.edges.values():
+        p = e.points
+        if len(p) < 3 or e.a == e.b:
+            continue
+        i = int(np.hypot(*(p[: len(p) // 2] - net.nodes[e.a]).T).argmin())
+        j = len(p) // 2 + int(np.hypot(*(p[len(p) // 2 :] - net.nodes[e.b]).T).argmin())
+        inner = p[i + 1 : j]
+        e.points = np.concatenate([[net.nodes[e.a]], inner, [net.nodes[e.b]]])
+
+
+def through_members(line: np.ndarray, members: list[np.ndarray], reach: float = 25.0, share: float = 0.8) -> list[np.ndarray]:
+    """The strands that are within ``reach`` along at least ``share`` of a line."""
+    at = _resample(line, max(2, int(arc_of(line)[-1] / 6) + 1))
+    return [m for m in members if (_distance(at, m) <= reach).mean() >= share]
+
+
+def edge_mates(line: np.ndarray, strands: list[np.ndarray], reach: float = 12.0, run: float = 60.0) -> list[int]:
+    """Indices of strands that stay within ``reach`` of a line for ``run`` metres on end."""
+    n = max(2, int(arc_of(line)[-1] / 6) + 1)
+    at, step = _resample(line, n), arc_of(line)[-1] / (n - 1)
+    out = []
+    for k, s in enumerate(strands):
+        longest = best = 0
+        for ok in _distance(at, s) <= reach:
+            longest = longest + 1 if ok else 0
+            best = max(best, longest)
+        if (best - 1) * step >= run:
+            out.append(k)
+    return out
+
+
+def cover_interval(line: np.ndarray, path: np.ndarray, reach: float = 40.0) -> tuple[float, float] | None:
+    """First and last arc of a line that a path rides along; None if it doesn't."""
+    n = max(2, int(arc_of(line)[-1] / 10) + 1)
+    hit = np.flatnonzero(_distance(_resample(line, n), path) <= reach)
+    return None if len(hit) < 2 else tuple(np.linspace(0, arc_of(line)[-1], n)[[hit[0], hit[-1]]].tolist())
+
+
+def fillet_corners(p: np.ndarray, radius: float, least_turn: float = 20.0) -> np.ndarray:
+    """Replace sharp vertices by arcs tangent to both legs; legs shorter than needed shrink the radius."""
+    out = [p[0]]
+    for i in range(1, len(p) - 1):
+        a, b, c = p[i - 1], p[i], p[i + 1]
+        u, v = b - a, c - b
+        lu, lv = np.hypot(*u), np.hypot(*v)
+        if not lu or not lv:
+            continue
+        turn = np.arccos(np.clip(u @ v / (lu * lv), -1, 1))
+        if np.degrees(turn) < least_turn or np.pi - turn < 1e-6:
+            out.append(b)
+            continue
+        cut = min(radius * np.tan(turn / 2), lu / 2, lv / 2)
+        out += list(_curve(b - u / lu * cut, u / lu, b + v / lv * cut, v / lv, 6))
+    out.append(p[-1])
+    return np.array(out)
+
+
 SEGMENTS = (
     "city string, kind string, edge int, node int, color string, routes array<string>, slot int, nslots int, offset_px double, off_from_px double, "
     "off_to_px double, band_min int, band_max int, acts array<string>, len_m double, points array<struct<x:double,y:double>>"

@@ -118,3 +118,18 @@ def retention(member: DataFrame, group: DataFrame, step: float = 25.0, reach: fl
     segs = lines.segments(lines.densify(group, ["line"], 4 * reach).withColumn("seq", F.struct("seq", "k")), ["line"])
     out = spatial.coverage_share(samples, segs, reach, ["feed"], ["feed", "line", "i"])
     return out.withColumn("ok", F.col("share") >= least)
+
+
+def centering_audit(built: DataFrame, track: DataFrame, step: float = 10.0, reach: float = 25.0, gap: float = 4.5) -> DataFrame:
+    """(line, samples, mean_error, worst, strands): how far built lines (line, seq, x, y) are from the median of the track (track, seq, x, y) beside them.
+
+    ``strands`` counts samples by how many strands they see; samples that see none are left out.
+    """
+    from isochron.functions import geo
+
+    samples = lines.tangents(lines.resample(built, ["line"], step), ["line"]).where("tx IS NOT NULL")
+    segs = lines.segments(lines.densify(track, ["track"], 4 * reach).withColumn("seq", F.struct("seq", "k")), ["track"])
+    seen = lines.strand_clusters(lines.cross_sections(samples, segs, reach).select("line", "i", "offset"), ["line", "i"], gap)
+    err = seen.withColumn("err", F.abs(geo.median_strand(F.col("strands")))).withColumn("n", F.size("strands"))
+    hist = err.groupBy("line", "n").agg(F.count("*").alias("c")).groupBy("line").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("n", "c")))).alias("strands"))
+    return err.groupBy("line").agg(F.count("*").alias("samples"), F.avg("err").alias("mean_error"), F.max("err").alias("worst")).join(hist, "line")

@@ -286,3 +286,19 @@ def scenario_grid(scenarios: list[dict]) -> list[list[str]]:
         for c in s["cells"]:
             grid[c // 24][c % 24] = s["id"]
     return grid
+
+
+def metric_shapes(points: DataFrame, cfg: ScenarioConfig = ScenarioConfig()) -> DataFrame:
+    """(shape_id, seq, x, y): shapes (shape_id, seq, lon, lat) in metres, thinned.
+
+    The cosine is a polynomial at the first point of the smallest shape id, so
+    footprints, and the ids made of them, can be reproduced.
+    """
+    from isochron.functions import geo
+    from isochron.operators import lines
+
+    lat0 = points.agg(F.min(F.struct("shape_id", "seq", "lat")).alias("m")).select(F.col("m.lat").alias("_lat0"))
+    xy = points.crossJoin(F.broadcast(lat0)).select(  # one row
+        "shape_id", "seq", (F.col("lon") * geo.M_PER_DEG * geo.cos_polynomial(F.col("_lat0"))).alias("x"), (F.col("lat") * geo.M_PER_DEG).alias("y")
+    )
+    return lines.thin(xy, "shape_id", cfg.thin_m)
