@@ -22,10 +22,11 @@ lost task runs again, and so are the sequence ids.
 from __future__ import annotations
 
 import base64
+import sys
 from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from types import ModuleType
 from zlib import crc32
 
 import numpy as np
@@ -47,8 +48,24 @@ class PackingConfig:
     folder: str | None = None  # where the vocabulary files are; None: the installed public tokenizers
 
 
-@lru_cache(maxsize=2)
+def _process_cache() -> dict:
+    """A dictionary that lives as long as the process.
+
+    Functions of this package are pickled by value, so what their module holds is
+    new in every task; an encoder costs half a second and tens of megabytes.
+    """
+    return sys.modules.setdefault("isochron_process_cache", ModuleType("isochron_process_cache")).__dict__
+
+
 def _tokenizer(vocabulary: str, folder: str | None) -> tuple[Callable[[str], np.ndarray], np.ndarray]:
+    key = f"tokenizer {folder}/{vocabulary}"
+    cache = _process_cache()
+    if key not in cache:
+        cache[key] = _load_tokenizer(vocabulary, folder)
+    return cache[key]
+
+
+def _load_tokenizer(vocabulary: str, folder: str | None) -> tuple[Callable[[str], np.ndarray], np.ndarray]:
     """(text -> ids, table: does the token end a sentence).
 
     The rank file holds the same vocabulary as the JSON one and gives the same
@@ -93,22 +110,33 @@ def plan_cuts(n: int, penalty: dict[int, float], capacity: int, inside: float, w
         at -= low
         rest -= low
         cand.setdefault(at, inside)
-    positions = sorted(p for p in cand if 0 < p <= n)
-    powers = [1 << k for k in range(capacity.bit_length()) if 1 << k <= capacity]
-    best: dict[int, float] = {0: 0.0}
-    back: dict[int, int] = {}
+    pos = np.array(sorted(p for p in cand if 0 < p <= n), dtype=np.int64)
+    positions = pos.tolist()
+    costs = [cand[p] + window_cost for p in positions]
+    # which candidates lie a power of two before each: of all such pairs only those that exist
+    there = np.zeros(n + 1, dtype=bool)
+    there[pos] = there[0] = True
+    rows, from_ = [], []
+    for q in (1 << k for k in range(capacity.bit_length())):
+        at_q = np.flatnonzero((pos >= q) & there[np.maximum(pos - q, 0)])
+        rows.append(at_q)
+        from_.append(pos[at_q] - q)
+    row = np.concatenate(rows)
+    order = np.argsort(row, kind="stable")
+    direct = np.concatenate(from_)[order].tolist()
+    first = np.searchsorted(row[order], np.arange(len(pos) + 1)).tolist()
+    best = [0.0] * (n + 1)
+    back = [0] * (n + 1)
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])  # best(i) + i, ascending
-    get = best.get
-    for j in positions:
+    for r, j in enumerate(positions):
         while queue[0][1] < j - capacity:
             queue.popleft()
         value, i = queue[0]
         cost = value + capacity - j
-        for q in powers:
-            x = get(j - q)
-            if x is not None and x < cost:
-                cost, i = x, j - q
-        cost += cand[j] + window_cost
+        for x in direct[first[r] : first[r + 1]]:
+            if best[x] < cost:
+                cost, i = best[x], x
+        cost += costs[r]
         best[j], back[j] = cost, i
         value = cost + j
         while queue and queue[-1][0] >= value:
