@@ -134,10 +134,10 @@ def order_bullets(stations: DataFrame, labels: DataFrame, policy: str = "color")
     return g.select("station", F.transform("s", lambda v: v["r"]).alias("routes"))
 
 
-def upstream_ids(stations: DataFrame, onestop: DataFrame) -> DataFrame:
-    """(station, ids): ``upstream:stop`` of its stops, sorted and joined by ``;``. ``onestop``: prefix, upstream."""
+def upstream_ids(stations: DataFrame, known: DataFrame) -> DataFrame:
+    """(station, ids): ``upstream:stop`` of its stops, sorted and joined by ``;``. ``known``: prefix, upstream."""
     s = stations.select("station", F.explode("stop_ids").alias("stop_id")).withColumn("prefix", names.feed_prefix(F.col("stop_id")))
-    j = s.join(onestop.where("upstream <> ''"), "prefix").select("station", F.concat("upstream", F.lit(":"), names.bare_id(F.col("stop_id"))).alias("p"))
+    j = s.join(known.where("upstream <> ''"), "prefix").select("station", F.concat("upstream", F.lit(":"), names.bare_id(F.col("stop_id"))).alias("p"))
     return j.groupBy("station").agg(F.array_join(F.array_sort(F.collect_set("p")), ";").alias("ids"))
 
 

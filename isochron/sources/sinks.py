@@ -81,9 +81,9 @@ def atomic_write(path: str, chunks: Iterable[bytes]) -> None:
 # strings, two zeros), positions as i32 pairs, starts, kinds u8, colours u32, then blocks
 # interleaved by feature: three f32, five i16, four u32; kinds and i16 padded to 4 bytes;
 # last the strings, counted and each with its length, the first one empty.
-BINARY_MAGIC = b"PLNB"
+BINARY_MAGIC = 0x424E4C50
 BINARY_VERSION = 1
-BINARY_HEADER = "<4sHHIIiIII"
+BINARY_HEADER = "<IHHIIiIII"
 DEGREE_SCALE = 10_000_000
 KIND_CODES = {"steady": 0, "transition": 1, "bridge": 2}
 F32_BLOCK = ("offset_px", "off_from_px", "off_to_px")
@@ -153,11 +153,11 @@ def decode_segments(data: bytes) -> list[dict]:
 
 
 def write_segments(segs: DataFrame, path: str, order: list[str], band: int = -1) -> None:
-    """One file of segments in order: binary for ``.plnb``, else GeoJSON; a band drops what it doesn't show."""
+    """One file of segments in order: binary for ``.segb``, else GeoJSON; a band drops what it doesn't show."""
     from isochron.operators.dynamic import filter_band
 
     segs = segs if band < 0 else filter_band(segs, band)
-    if path.endswith(".plnb"):
+    if path.endswith(".segb"):
         rows = (r.asDict(recursive=True) for r in segs.orderBy(*order).toLocalIterator())
         atomic_write(path, [encode_segments(rows, band)])
     else:

@@ -174,7 +174,7 @@ def segment(**more):
 def test_binary_round_trip_and_layout():
     rows = [segment(), segment(kind="odd", color="zzz", routes=[], acts=[], label="")]
     raw = sinks.encode_segments(rows, 15)
-    assert raw[:4] == b"PLNB" and len(raw) % 1 == 0 and int.from_bytes(raw[8:12], "little") == 2 and int.from_bytes(raw[12:16], "little") == 4
+    assert int.from_bytes(raw[:4], "little") == sinks.BINARY_MAGIC and int.from_bytes(raw[8:12], "little") == 2 and int.from_bytes(raw[12:16], "little") == 4
     a, b = sinks.decode_segments(raw)
     assert a["points"] == rows[0]["points"] and a["color"] == "ff0000" and a["routes"] == ["a", "b"] and a["acts"] == rows[0]["acts"] and a["off_to_px"] == -2.0
     assert b["color"] == "000000" and b["kind"] == "" and b["routes"] == []
@@ -194,8 +194,8 @@ def test_geojson_sink_round_trip(spark, tmp_path):
     sinks.write_segments(df, path, ["slot"])
     back = geojson.segment_features(geojson.read_features(spark, path)).orderBy("slot").collect()
     assert [r["slot"] for r in back] == [0, 1] and back[0]["routes"] == ["a", "b"] and back[0]["ridx"] == "a=00,b=01"
-    sinks.write_segments(df, str(tmp_path / "b.plnb"), ["slot"], 13)
-    assert len(sinks.decode_segments((tmp_path / "b.plnb").read_bytes())) == 1
+    sinks.write_segments(df, str(tmp_path / "b.segb"), ["slot"], 13)
+    assert len(sinks.decode_segments((tmp_path / "b.segb").read_bytes())) == 1
     sinks.write_collection([], path)
     assert (tmp_path / "out.geojson").read_text() == '{"type":"FeatureCollection","features":null}'
 
