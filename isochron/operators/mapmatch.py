@@ -272,7 +272,7 @@ def match_patterns(patterns: DataFrame, ways: DataFrame, cfg: MatchConfig = Matc
     p = patterns.withColumns({"cls": modes.route_class(F.col("route_type")), "layer": modes.pattern_layer(F.col("route_type"))})
     rides = {k: set(v) for k, v in modes.RIDES.items()}
 
-    def run(key, pats: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pats: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         xy = lambda v: np.array([[q["x"], q["y"]] for q in v], dtype=float)
         matcher = Matcher(build_track([(w.id, w.cls, int(w.level), xy(w.points)) for w in own.itertuples(index=False)], cfg.weld), cfg)
         rows = []

@@ -559,7 +559,7 @@ SEGMENTS = (
 def build_segments(paths: DataFrame, routes: DataFrame, cfg: NetworkConfig = NetworkConfig()) -> DataFrame:
     """Segments of every city: ``paths`` (city, route_id, points, mask: seven ints or null), ``routes`` (city, route_id, trunk, color)."""
 
-    def run(key, own: pd.DataFrame, rts: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, own: pd.DataFrame, rts: pd.DataFrame) -> pd.DataFrame:
         trunk = dict(zip(rts.route_id, rts.trunk, strict=True))
         votes: dict[str, Counter] = defaultdict(Counter)
         for t, c in zip(rts.trunk, rts.color, strict=True):

@@ -153,7 +153,7 @@ def build_tiles(features: DataFrame, top: int, tolerance: float = 1.0) -> DataFr
 
     placed = assign_tiles(features, top)
 
-    def encode(key, g: pd.DataFrame) -> pd.DataFrame:
+    def encode(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         z, tx, ty = (int(k) for k in key)
         blob = b""
         for layer, rows in g.sort_values(["layer", "id"]).groupby("layer", sort=True):
