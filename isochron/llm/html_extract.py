@@ -22,10 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)(?=[\s/>])([^>]*)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)",
     re.S | re.I,
 )
+_SKIPPED = "script style noscript template svg iframe textarea select title".split()
+_OPEN = {t: re.compile(rf"<{t}(?=[\s/>])", re.I) for t in _SKIPPED}
+_CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in _SKIPPED}
+#: Of the skipped elements, those that run to the end of the page if they are not closed, and those that hold their like.
+_RAW, _NESTS = frozenset(("script", "style", "textarea")), frozenset(("svg", "template"))
+_FOREIGN = re.compile(r"<foreignobject(?=[\s/>])", re.I)
 _ATTR = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+")
 #: Elements whose text flows with its surroundings; every other one begins and ends a block.
@@ -37,6 +43,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
 )
+#: Tags at which a skipped element that is not closed ends.
+_NEXT_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(_ENDS_P))}|html|head|body|li|dt|dd|caption|thead|tbody|tfoot|tr|td|th)(?=[\s/>])", re.I)
 _ENDS_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
@@ -48,6 +56,30 @@ class Block:
     linked: int  # characters inside links
 
 
+def _skip(page: str, tag: str, attrs: str, at: int, closes: dict[str, re.Match[str] | None]) -> int:
+    """Where a skipped element ends whose start tag ends at ``at``. closes: the last end tag found of each name."""
+    if tag == "svg" and attrs.endswith("/"):
+        return at
+    if tag not in closes or (closes[tag] is not None and closes[tag].start() < at):
+        closes[tag] = _CLOSE[tag].search(page, at)
+    close = closes[tag]
+    if tag in _RAW:
+        return close.end() if close else len(page)
+    if close is not None:
+        inside = (at, close.start())
+        if tag == "svg":  # only foreign objects hold blocks
+            block = _NEXT_BLOCK.search(page, *inside)
+            closed = block is None or _FOREIGN.search(page, at, block.start()) is not None
+        else:
+            closed = tag in _NESTS or _OPEN[tag].search(page, *inside) is None
+        if closed:
+            return close.end()
+    if attrs.endswith("/"):
+        return at
+    block = _NEXT_BLOCK.search(page, at)
+    return block.start() if block else len(page)
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """Non-empty leaf blocks in page order; white space inside one is a single blank."""
     out: list[Block] = []
@@ -62,17 +94,23 @@ def leaf_blocks(page: str | None) -> list[Block]:
             out.append(Block(joined, tuple(t for t, _ in stack), tuple(n for _, ns in stack for n in ns), linked))
         text, linked = [], 0
 
-    for m in _PIECE.finditer(page or ""):
-        raw = m[5]
+    page, at = page or "", 0
+    closes: dict[str, re.Match[str] | None] = {}
+    while m := _PIECE.search(page, at):
+        at = m.end()
+        raw = m[6]
         if raw is not None:
             text.append(raw)
             if links:
                 linked += len(raw.strip())
             continue
-        tag = m[3]
+        if m[1] is not None:
+            at = _skip(page, m[1].lower(), m[2], at, closes)
+            continue
+        tag = m[4]
         if tag is None:
             continue
-        tag, closing = tag.lower(), bool(m[2])
+        tag, closing = tag.lower(), bool(m[3])
         if tag in _INLINE:
             if tag == "br":
                 text.append(" ")
@@ -97,8 +135,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
                     break
                 if stack[i][0] in ("ul", "ol", "dl", "table"):
                     break
-        if tag not in _VOID and not m[4].endswith("/"):
-            names = tuple(w.lower() for a in _ATTR.findall(m[4]) for w in _NAME.findall(a[0] or a[1] or a[2])) if m[4] else ()
+        if tag not in _VOID and not m[5].endswith("/"):
+            names = tuple(w.lower() for a in _ATTR.findall(m[5]) for w in _NAME.findall(a[0] or a[1] or a[2])) if m[5] else ()
             stack.append((tag, names))
     flush()
     return out

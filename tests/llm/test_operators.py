@@ -420,6 +420,25 @@ def test_blocks_are_clean():
     assert [b.text for b in html_extract.leaf_blocks(page)] == ["A & B", "one two", "three <x> a < b", "i", "j"]
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>one</p><svg-icon></svg-icon><p>two</p><p>three</p>", ["one", "two", "three"]),
+        ("<p>one</p><title-bar>bar</title-bar><select-box></select-box><p>two</p>", ["one", "bar", "two"]),
+        ("<p>one <svg/>two</p><p>three</p><svg class='a' /><p>four</p><svg><path d='M0'/></svg>", ["one two", "three", "four"]),
+        ("<p>one</p><svg><path d='M0'/><p>two</p><p>three</p><svg></svg>", ["one", "two", "three"]),
+        ("<p>one</p><svg><foreignObject><p>no</p></foreignObject><svg></svg><g/></svg><p>two</p>", ["one", "two"]),
+        ("<p>one</p><select><option>no<p>two</p><select><option>no</select><p>three</p>", ["one", "two", "three"]),
+        ("<p>one</p><template><div>no</div></template><noscript><p>no</p></noscript><p>two</p>", ["one", "two"]),
+        ("<p>one <iframe src='/x'/>two</p><p>three</p>", ["one two", "three"]),
+        ("<head><title>no</head><body><p>one</p></body>", ["one"]),
+        ("<p>one</p><script>no<p>no</p>", ["one"]),
+    ],
+)
+def test_skipped_elements_take_no_more_than_their_own(page, want):
+    assert [b.text for b in html_extract.leaf_blocks(page)] == want
+
+
 def test_viterbi_equals_all_label_sequences():
     rng = np.random.default_rng(1)
     crf = html_extract.CRF({f"f{i}": i for i in range(6)}, rng.normal(size=(6, 2)), rng.normal(size=(2, 2)))
