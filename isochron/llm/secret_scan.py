@@ -5,8 +5,10 @@ classes is built; states whose continuation counts are statistically compatible
 (Hoeffding bound, red-blue order) are merged into a probabilistic automaton.
 Every long token with letters and digits is scored by the log-likelihood ratio
 of its best automaton, with each character uniform within its class, against the
-letter pairs of the whole corpus. Tokens above the threshold are added to the
-pattern matches, which always stay.
+letter pairs of the whole corpus. A token is a run of the characters that occur
+in credentials; below the threshold its pieces between "=", then between "/",
+are scored in its place. Tokens above the threshold that do not lie inside a
+pattern match are added to the pattern matches, which always stay.
 """
 
 from __future__ import annotations
@@ -14,9 +16,11 @@ from __future__ import annotations
 import random
 import re
 import string
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from hashlib import sha256
+from itertools import accumulate
 from math import log, log2, sqrt
 
 import numpy as np
@@ -31,7 +35,8 @@ _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # 18 or more; a shorter run can't hold a longer match
 _HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "format")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,200}(?![A-Za-z0-9+/_=-])")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")  # whole runs, however long
+_ASSIGNED, _STEP = re.compile(r"[^=]{16,}"), re.compile(r"[^=/]{16,}")
 _DIGIT = re.compile(r"[0-9]")
 
 #: Bits a character by which a token must be likelier under a format than as ordinary text.
@@ -222,14 +227,27 @@ class FormatScorer:
     def spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         if not _DIGIT.search(text):
             return []
-        out = []
-        for m in _TOKEN.finditer(text):
-            token = m.group()
-            if not _DIGIT.search(token) or token.isdecimal() or any(a < m.end() and m.start() < b for a, _, b in base):
-                continue
-            if self.score(token) >= self.threshold:
-                out.append((m.start(), 3, m.end()))
-        return out
+        starts, ends = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+
+        def found(a: int, b: int) -> bool:
+            token = text[a:b]
+            if not _DIGIT.search(token) or token.isdecimal():
+                return False
+            before = bisect_right(starts, a)
+            inside = before > 0 and ends[before - 1] >= b
+            return not inside and self.score(token) >= self.threshold
+
+        def tokens(a: int, b: int) -> Iterator[tuple[int, int]]:
+            if found(a, b):
+                yield a, b
+                return
+            for m in _ASSIGNED.finditer(text, a, b):
+                if m.span() != (a, b) and found(*m.span()):
+                    yield m.span()
+                    continue
+                yield from (x.span() for x in _STEP.finditer(text, *m.span()) if x.span() != m.span() and found(*x.span()))
+
+        return [(a, 3, b) for m in _TOKEN.finditer(text) if _DIGIT.search(m[0]) for a, b in tokens(*m.span())]
 
 
 def _join(spans: list[tuple[int, int, int]]) -> str:

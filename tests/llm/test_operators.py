@@ -405,6 +405,37 @@ def test_automata_find_held_out_credentials_and_leave_words(spark, weird, nothin
     assert secret_scan.op7_secrets(weird).count() == 11 and secret_scan.op7_secrets(nothing).count() == 0
 
 
+def test_credentials_inside_longer_runs_are_found(spark):
+    rng = random.Random(6)
+    made = dict(secret_scan.sample_credentials(1, seed=321))
+    long = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=700))
+    cases = [
+        ("STRIPE_KEY=", made["live_key"], ""),
+        ("key=", made["api_key"], " "),
+        ("export X=", made["prefixed"], "\n"),
+        ("", made["base64_40"], "=="),
+        ("https://host/a/", made["prefixed"], "/b"),
+        ("--first=1&x=", made["bot_token"], "="),
+        ("", long, ""),
+        ("A=", long, "="),
+    ]
+    around = [words(rng, 30) + "\n" for _ in cases]
+    texts = [f"{w}{a}{c}{b}" for w, (a, c, b) in zip(around, cases, strict=True)]
+    texts += [f"{words(rng, 300)} host/2024/release-notes-page/other" for _ in range(50)]
+    rows = {r["doc_id"]: r["spans"].split(",") for r in secret_scan.scan_secrets(frame(spark, texts)).collect()}
+    for i, (w, (a, c, _)) in enumerate(zip(around, cases, strict=True)):
+        at = len(w) + len(a)
+        assert f"format:{at}:{at + len(c)}" in rows[i], (cases[i], rows[i])
+    assert not any("format" in x for i in range(len(cases), len(texts)) for x in rows[i])
+
+
+def test_only_tokens_inside_a_pattern_match_are_left_to_it():
+    scorer = secret_scan.FormatScorer(secret_scan.infer_automata(secret_scan.sample_credentials()), np.full((128, 128), -9.0))
+    key = "ghp_" + "0123456789abcdef0123" + "QRSTuvwxyzQRSTUV"
+    assert secret_scan.base_spans(key) == [(4, 2, 24)] and scorer.spans(key, [(4, 2, 24)]) == [(0, 3, 40)]
+    assert scorer.spans(key, [(0, 0, 40)]) == scorer.spans(key, [(0, 0, 50), (4, 2, 24)]) == []
+
+
 # html
 
 
