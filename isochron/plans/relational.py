@@ -680,3 +680,42 @@ def band_filter(spark: SparkSession, d: str) -> DataFrame:
 
     p = table(spark, d, "part").select("p_partkey", F.col("p_size").alias("band_min"), (F.col("p_size") + 10).alias("band_max"))
     return dynamic.filter_band(p, 15).select("p_partkey")
+
+
+# The same operators over whole tables, without the subsets that the queries of the same names above and their SQL take.
+
+
+@register(
+    "components_whole",
+    """WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey AS a, n_regionkey + 1000 AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, c) AS (SELECT a, a FROM u UNION SELECT u.b, r.c FROM r JOIN u ON r.node = u.a)
+SELECT cast(node AS BIGINT) AS node, cast(min(c) AS BIGINT) AS component FROM r GROUP BY node""",
+)
+def components_whole(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier").select("s_nationkey").distinct()
+    e = s.join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return connected_components(e.select(F.col("s_nationkey").cast("bigint").alias("u"), (F.col("n_regionkey") + 1000).cast("bigint").alias("v")))
+
+
+@register(
+    "idf_tokens_whole",
+    rf"""WITH a AS (SELECT list_distinct(string_split(trim(regexp_replace(translate(lower(p_name), '{names._FROM}', '{names._TO}'), '[^\p{{L}}\p{{Nd}}]+', ' ', 'g')), ' ')) AS t FROM part),
+b AS (SELECT list_distinct(string_split(trim(regexp_replace(translate(lower(text), '{names._FROM}', '{names._TO}'), '[^\p{{L}}\p{{Nd}}]+', ' ', 'g')), ' ')) AS t FROM benchmark),
+da AS (SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM a) WHERE token <> '' GROUP BY token),
+db AS (SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM b) WHERE token <> '' GROUP BY token)
+SELECT token, round(least(ln(1 + (SELECT count(*) FROM a) / coalesce(da.n, 0.5)), ln(1 + (SELECT count(*) FROM b) / coalesce(db.n, 0.5))), 9) AS idf FROM da FULL JOIN db USING (token)""",
+)
+def idf_tokens_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Token weights over part names and benchmark texts."""
+    a = table(spark, d, "part").select(names.name_tokens(F.col("p_name")).alias("tokens"))
+    b = table(spark, d, "benchmark").select(names.name_tokens(F.col("text")).alias("tokens"))
+    return similarity.idf_weights(a, b).select("token", F.round("idf", 9).alias("idf"))
+
+
+@register("trunk_key_whole", "SELECT p_partkey, CASE WHEN p_partkey % 10 = 2 AND p_brand <> '' THEN 'agency:' || p_brand WHEN p_partkey % 10 = 3 THEN 'route:' || p_partkey WHEN p_size > 25 THEN printf('%06x', p_size) ELSE 'agency:' || p_brand END AS trunk FROM part")
+def trunk_key_whole(spark: SparkSession, d: str) -> DataFrame:
+    style = modes.Style({"regional": modes.ClassStyle("agency"), "bus": modes.ClassStyle("route")})
+    color = F.when(F.col("p_size") > 25, F.lower(F.lpad(F.hex("p_size"), 6, "0"))).otherwise("")
+    key = modes.trunk_key(style, F.col("p_partkey").cast("string"), F.lit(""), F.lit(""), F.col("p_brand"), color, F.col("p_partkey") % 10)
+    return table(spark, d, "part").select("p_partkey", key.alias("trunk"))
