@@ -17,6 +17,7 @@ weights and its density into a score.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isochron.llm.packing import _process_cache
 from isochron.llm.simhash import fingerprint
 
 #: Most labelled rows the lexicon and the model are learned from, and most of their characters.
@@ -38,16 +40,39 @@ LEAST_RATIO = 8.0
 SCORE_LIMIT = 0.7
 
 _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
-_SPLIT = set(" \t\n\r\x0b\x0c,;:()[]{}\"/\\|&=<>?“”«»„…\xa0  \x85")
-_TABLE = 0x3000
-_BLANK, _GONE = 0, 255
+_SPLIT = set(" \t\n\r\x0b\x0c,;:()[]{}\"/\\|&=<>?“”«»„…、。，．！？：；（）「」『』【】\xa0  \x85")
+_BLANK, _GONE = 0, 0xFFFF
 _QUOTES = re.compile("[\"“”«»„]")
 _REPORT = re.compile(r"\b(?:said|says|say|wrote|writes|called|calls|quote[ds]?|quoting|term|word|slur|so-called|reported|dit|sagte|dijo)\b", re.I)
 _SECOND = re.compile(r"\b(?:you|your|you're|u|ur|du|dein|tu|toi|vous|usted)\b", re.I)
 
 
 def edit_limit(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 10 else 2
+    return 0 if len(term) < 4 else 1 if len(term) < 10 else 2
+
+
+def near_weight(term: str, distance: int) -> float:
+    """What share of a term's weight a word at this distance has; less for four letters, which many words are near to."""
+    return 0.2 if len(term) < 5 else 0.4 if distance == 1 else 0.25
+
+
+def _kinds() -> tuple[np.ndarray, np.ndarray, dict[str, list[int]]]:
+    """Of all code points: class without a lexicon (1 for any letter or digit), whether a letter; and the code points of each lower-case letter."""
+    cache = _process_cache()
+    if "toxicity kinds" in cache:
+        return cache["toxicity kinds"]
+    kind, is_letter = np.full(sys.maxunicode + 1, _GONE, dtype=np.uint16), np.zeros(sys.maxunicode + 1, dtype=bool)
+    of: dict[str, list[int]] = defaultdict(list)
+    for cp in range(sys.maxunicode + 1):
+        c = chr(cp)
+        if c in _SPLIT or c.isspace():
+            kind[cp] = _BLANK
+        elif c.isalnum() or c in _LEET:
+            kind[cp] = 1
+            is_letter[cp] = c.isalpha()
+            of[_LEET.get(c, c.lower())].append(cp)
+    cache["toxicity kinds"] = kind, is_letter, of
+    return cache["toxicity kinds"]
 
 
 class LexiconAutomaton:
@@ -55,6 +80,7 @@ class LexiconAutomaton:
 
     def __init__(self, terms: list[str]) -> None:
         self.terms = sorted(set(terms))
+        self._table = self._is_letter = None
         letters = sorted({c for t in self.terms for c in t})
         self.letter = {c: i + 1 for i, c in enumerate(letters)}
         self.other = len(letters) + 1
@@ -119,30 +145,28 @@ class LexiconAutomaton:
             for node, e in s:
                 if node in last and e <= edit_limit(self.terms[last[node]]) and e < self.distance[i]:
                     self.accept[i], self.distance[i] = last[node], e
-        self.kind = np.full(_TABLE, _GONE, dtype=np.uint8)  # code point -> class
-        self.is_letter = np.zeros(_TABLE, dtype=bool)
-        for cp in range(_TABLE):
-            c = chr(cp)
-            if c in _SPLIT or c.isspace():
-                self.kind[cp] = _BLANK
-            elif c.isalpha():
-                self.kind[cp] = self.letter.get(c.lower(), self.other)
-                self.is_letter[cp] = True
-            elif c in _LEET:
-                self.kind[cp] = self.letter.get(_LEET[c], self.other)
-            elif c.isalnum():
-                self.kind[cp] = self.other
-        self.leet_sign = np.array([chr(cp) in "@$!" for cp in range(_TABLE)])
+        self.kind = {letter: of for c, letter in self.letter.items() if (of := _kinds()[2].get(c))}  # class -> code points
+
+    def classes(self, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(class, is it a letter) of each code point."""
+        if self._table is None:
+            kind, self._is_letter, _ = _kinds()
+            self._table = np.where(kind == 1, self.other, kind).astype(np.uint16)
+            for letter, of in self.kind.items():
+                self._table[of] = letter
+        return self._table[cp], self._is_letter[cp]
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_table": None, "_is_letter": None}  # made anew by each process
 
     def find(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, start, end, term, distance) of each matching word; positions in code points."""
         offsets = np.cumsum([0, *[len(t) + 1 for t in texts]])
         cp = np.frombuffer((" ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        cp = np.minimum(cp, _TABLE - 1)
-        kind = self.kind[cp]
-        sign = self.leet_sign[cp]
+        kind, is_letter = self.classes(cp)
+        sign = (cp == 64) | (cp == 36) | (cp == 33)  # @ $ !
         if sign.any():  # a sign stands for a letter only before one
-            before_letter = np.append(self.is_letter[cp[1:]], False)
+            before_letter = np.append(is_letter[1:], False)
             kind = np.where(sign & ~before_letter, _GONE, kind)
         kept = np.flatnonzero(kind != _GONE)
         k = kind[kept]
@@ -199,7 +223,7 @@ class ToxicityModel:
             if distance == 0:
                 sure[t] += weight
             elif texts[t][a:b].lower() not in self.ordinary:
-                near[t] += (0.4 if distance == 1 else 0.25) * weight
+                near[t] += near_weight(self.automaton.terms[term], distance) * weight
         expected = 3.0 * self.rate * np.array([len(t) for t in texts])
         total = sure + np.maximum(near - expected, 0.0)
         words = np.array([t.count(" ") + t.count("\n") + 10 for t in texts])
@@ -243,7 +267,7 @@ def fit(rows: list[tuple[str, int]], terms: dict[str, float] | None = None) -> T
         if distance:
             form = clean[t][a:b].lower()
             forms[form] += 1
-            rest[form] = (0.4 if distance == 1 else 0.25) * terms[model.automaton.terms[term]]
+            rest[form] = near_weight(model.automaton.terms[term], distance) * terms[model.automaton.terms[term]]
     model.ordinary = {f for f, n in forms.items() if n >= 2}
     model.rate = sum(w for f, w in rest.items() if forms[f] == 1) / max(1, sum(map(len, clean)))
     if rows and any(toxic) and not all(toxic):

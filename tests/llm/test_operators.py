@@ -130,6 +130,13 @@ def test_automaton_equals_edit_distance():
         assert got == ([min(fits)] if fits else []), w
 
 
+def test_short_terms_and_all_scripts_are_matched():
+    auto = toxicity.LexiconAutomaton(["scum", "idiot", "笨蛋家伙", "바보멍청이"])
+    for word, want in (("scvm", 1), ("scuum", 1), ("scum", 0), ("scvn", None), ("笨蛋家伙", 0), ("笨蛋家火", 1), ("바보멍청이", 0), ("漢字", None)):
+        assert [d for *_, d in auto.find([f"a {word}。b"])] == ([] if want is None else [want]), word
+    assert toxicity.near_weight("scum", 1) < toxicity.near_weight("idiot", 1)
+
+
 def test_disguises_and_context():
     auto = toxicity.LexiconAutomaton(["idiot", "stupid"])
     text = "an 1d1ot and st*pid! I.D.I.O.T$$$ (STUPID)"
