@@ -330,49 +330,80 @@ def test_simhash_odd_rows(weird, nothing):
 # quality model
 
 
-def plain_kneser_ney(counts):
-    """The same model cell by cell."""
-    a, order = counts.shape[0], counts.ndim
-    levels = [counts]
-    for _ in range(order - 1):
-        levels.append((levels[-1] > 0).sum(axis=0))
-    d = [quality_lm._discounts(c) for c in levels]
-
-    def p(k, gram):
-        if k == order:
-            return 1 / a
-        c, (d1, d2, d3) = levels[k], d[k]
-        row = c[gram[:-1]]
-        lower = p(k + 1, gram[1:])
-        if row.sum() == 0:
-            return lower
-        n = c[gram]
-        disc = (0, d1, d2, d3)[min(n, 3)]
-        gamma = d1 * (row == 1).sum() + d2 * (row == 2).sum() + d3 * (row >= 3).sum()
-        return max(n - disc, 0) / row.sum() + gamma / row.sum() * lower
-
-    return np.array([p(0, g) for g in np.ndindex(counts.shape)]).reshape(counts.shape)
-
-
-def test_kneser_ney_equals_the_formula_and_sums_to_one():
-    rng = np.random.default_rng(3)
-    c = rng.poisson(0.4, size=(4, 4, 4))
-    p = quality_lm.kneser_ney(c.reshape(-1), 4, 3).reshape(4, 4, 4)
-    assert np.allclose(p, plain_kneser_ney(c)) and np.allclose(p.sum(axis=-1), 1)
-
-
-def test_counts_cover_all_texts(spark):
-    texts = ["abc", None, "", "abca", "ÄB #1"]
-    got = quality_lm.count_grams(frame(spark, texts))[0]
-    want = np.zeros_like(got)
-    for t in texts:
-        s = [quality_lm._symbol(ord(c)) for c in "\n\n\n" + (t or "")]
-        for i in range(len(s) - 3):
-            g = 0
-            for x in s[i : i + 4]:
-                g = g * quality_lm.ALPHABET + x
-            want[g] += 1
-    assert (got == want).all()
+def model_rows(rng, n):
+    texts = [words(rng, rng.randint(0, 40)) for _ in range(n)] + ["", None, "ÄB #1 漢字漢", "a\0b", words(rng, 400)]
+    return [(i, t, ("en", "de", None)[i % 3], None if rng.random() < 0.3 else rng.randrange(2)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("hot", [0, 40, 1 << 18])
+def test_perplexities_equal_the_formula(spark, hot, monkeypatch):
+    rows = model_rows(random.Random(3), 40)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _fold int").repartition(3)
+    model = quality_lm.kneser_ney(quality_lm.count_grams(df, 3), 3)
+    got = {r["doc_id"]: r for r in quality_lm.perplexities(df, model, ("doc_id",), 3, hot).collect()}
+    want = quality_lm.brute_force([(t, f) for _, t, _, f in rows], 3)
+    for (i, t, _, _), (own, held) in zip(rows, want, strict=True):
+        assert got[i]["n_scored"] == len(t or "")
+        assert (got[i]["perplexity"] is None) == (own is None)
+        if own is not None:
+            assert np.isclose(got[i]["perplexity"], own) and np.isclose(got[i]["held_out"], held), t
+
+
+def test_kneser_ney_sums_to_one(spark):
+    rows = model_rows(random.Random(5), 30)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _fold int")
+    counts = quality_lm.count_grams(df, 2)
+    chars = {g[-1] for g in (r["g"] for r in counts.collect())}
+    every = spark.createDataFrame([("e" + c, 0) for c in chars], "g string, z long")
+    full = counts.join(every, "g", "full").select("g", *[F.coalesce(f"n_{m}", F.lit(0)).alias(f"n_{m}") for m in quality_lm.MODELS])
+    total = quality_lm.kneser_ney(full, 2).where("substring(g, 1, 1) = 'e'").agg(*[F.sum(f"p_{m}") for m in quality_lm.MODELS]).first()
+    assert np.allclose(list(total), 1.0)
+
+
+def test_runs_cut_long_texts_and_number_many_characters():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    wide = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(9000))
+    for texts in (["abcab", None, "", "x" * 37 + "yz"], [wide, "ab" + wide[:50]]):
+        for size in (7, 64, 1 << 21):
+            found = {i: [] for i in range(len(texts))}
+            for r in quality_lm.runs(pa.array(texts), 5, size):
+                names = r.spell(r.grams).to_pylist()
+                for t, g in zip(r.text.tolist(), names, strict=True):
+                    found[t].append(g)
+                points = np.frombuffer("".join(names).encode("utf-32-le"), dtype="<u4").reshape(-1, 5)
+                assert (r.numbers(points) == r.grams).all()
+                assert (r.numbers(np.full((1, 5), 0x1F600, dtype="<u4")) == -1).all()
+            for i, t in enumerate(texts):
+                whole = "\n" * 4 + (t or "")
+                assert found[i] == [whole[k : k + 5] for k in range(len(t or ""))]
+    assert len(wide) and any(r.pairs is not None for r in quality_lm.runs(pa.array([wide]), 5))
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(6)
+    rows = [(g, float(v)) for g, n in (("a", 1), ("b", 999), ("c", 200)) for v in np.round(np.exp(rng.normal(2, 1, n)), 2)] + [("b", 7.0)] * 300
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    for q in (0.5, 0.995, 1.0):
+        got = {r["g"]: r["quantile"] for r in quality_lm.exact_quantile(df, "g", "v", q).collect()}
+        assert got == {g: float(np.quantile([v for x, v in rows if x == g], q, method="inverted_cdf")) for g in "abc"}
+
+
+def test_whole_query_equals_brute_force(spark):
+    rng = random.Random(9)
+    docs = [(i, words(rng, rng.randint(5, 60)), ("en", "de")[i % 2]) for i in range(60)] + [(100, None, "en"), (101, "漢字 " * 9, "fr")]
+    labels = [(i, 1) for i in range(40)] + [(i, 0) for i in range(40, 50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality_lm.op6_quality_lm(df, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    fold = {r["doc_id"]: r["f"] for r in df.select("doc_id", F.expr("pmod(xxhash64(doc_id), 2)").alias("f")).collect()}
+    want = quality_lm.brute_force([(t, fold[i] if i < 40 else None) for i, t, _ in docs])
+    held = {x: [w[1] for (i, _, lang), w in zip(docs, want, strict=True) if i < 40 and lang == x] for x in ("en", "de")}
+    limits = {x: np.quantile(v, 0.995, method="inverted_cdf") for x, v in held.items()} | {"fr": np.quantile(sum(held.values(), []), 0.995, method="inverted_cdf")}
+    for (i, _, lang), (own, _) in zip(docs, want, strict=True):
+        assert np.isclose(got[i]["threshold"], limits[lang])
+        assert own is None or np.isclose(got[i]["perplexity"], own)
+        assert got[i]["kept"] == (own is not None and own <= limits[lang])
 
 
 def test_classifier_keeps_trusted_looking_texts(spark, weird, nothing):
