@@ -93,8 +93,7 @@ rep AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id),
 l AS (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS line FROM d),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, {_CLEAN}) GROUP BY doc_id),
 nl AS (SELECT doc_id, host, t, trim(regexp_replace(lower(line), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS x FROM l),
-hosts AS (SELECT host, count(DISTINCT t) AS n FROM d GROUP BY host),
-bad AS (SELECT b.host, x FROM (SELECT host, x, count(DISTINCT t) AS df FROM nl WHERE x <> '' GROUP BY host, x) b JOIN hosts h ON b.host = h.host WHERE df > {line_quality.LEAST_DOCUMENTS} AND df > {line_quality.SHARE_OF_HOST} * n),
+bad AS (SELECT host, x FROM nl WHERE x <> '' GROUP BY host, x HAVING count(DISTINCT doc_id) + count(DISTINCT CASE WHEN doc_id IS NULL THEN t END) > {line_quality.MOST_DOCUMENTS}),
 rem AS (
   SELECT doc_id, sum(len(string_split(nl.x, ' '))) AS total, coalesce(sum(CASE WHEN bad.x IS NOT NULL THEN len(string_split(nl.x, ' ')) END), 0) AS removed
   FROM nl LEFT JOIN bad ON nl.host = bad.host AND nl.x = bad.x WHERE nl.x <> '' GROUP BY doc_id),

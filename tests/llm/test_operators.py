@@ -192,13 +192,16 @@ def plain_counts(text):
     return len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit)
 
 
-def test_base_counts_equal_their_definitions():
+def test_base_counts_equal_their_definitions(monkeypatch):
     rng = random.Random(6)
     cases = [None, "", " \n ", "a b c a b c a b c", "x\nx\ny\nx \nx", "# é|<> *\n#"]
     cases += ["\n".join(words(rng, rng.randint(0, 8)).replace("a", rng.choice(["a", "é", "#"])) for _ in range(rng.randint(1, 12))) for _ in range(80)]
     cases += [" ".join(rng.choice("ab") for _ in range(rng.randint(1, 60))) for _ in range(80)]
     for t in cases:
         assert line_quality.base_counts(t) == plain_counts(t), t
+    monkeypatch.setattr(line_quality, "LONG_BYTES", 3)
+    for t in cases:
+        assert line_quality.base_counts(t) == plain_counts(t), t
 
 
 def test_boilerplate_is_counted_by_distinct_documents(spark, nothing):
@@ -207,15 +210,27 @@ def test_boilerplate_is_counted_by_distinct_documents(spark, nothing):
     docs = [(i, f"{words(rng, 60)}\n{shared.upper()}!", "h") for i in range(40)]
     docs += [(100 + i, "\n".join([shared] * 6), "h") for i in range(2)]  # nothing but boilerplate
     copy = "\n".join(words(rng, 15) for _ in range(6))
-    docs += [(200 + i, copy, "h") for i in range(60)]  # one document, many copies
+    docs += [(200 + i, copy, "h") for i in range(60)]  # sixty documents, whatever their text
+    docs += [(300, f"{words(rng, 60)}\n{copy}", "other")]
+    docs += [(400, f"only {words(rng, 60)}\n{copy[:30]} again", "h")] * 40  # one document, repeated rows
     df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
-    got = {r["doc_id"]: r for r in line_quality.judge_documents(df).collect()}
-    assert line_quality.boilerplate_lines(df).count() == 1
-    assert all(got[i]["kept"] and got[i]["removed_words"] == 12 for i in range(40))
-    assert not got[100]["kept"] and all(got[200 + i]["kept"] for i in range(60))
+    for limit in (1 << 20, 0):  # lines joined by a broadcast and by a shuffle
+        got = {r["doc_id"]: r for r in line_quality.judge_documents(df, broadcast=limit).collect()}
+        assert all(got[i]["kept"] and got[i]["removed_words"] == 12 for i in range(40))
+        assert not got[100]["kept"] and not any(got[200 + i]["kept"] for i in range(60))
+        assert got[300]["kept"] and got[300]["removed_words"] == 0 and got[400]["kept"]
+    assert line_quality.boilerplate_lines(df).count() == 7
     assert line_quality.op3_line_quality(nothing).count() == 0
 
 
+def test_the_limit_is_the_same_for_a_large_host(spark):
+    rng = random.Random(17)
+    docs = [(i, f"{words(rng, 60)}\n{'few of all have it' if i % 100 == 0 else 'own'} {words(rng, 1) if i % 100 else ''}", "big") for i in range(2500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(5)
+    got = line_quality.judge_documents(df).where("removed_words >= 5").count()
+    assert got == 25
+
+
 def test_line_quality_odd_rows(weird):
     got = line_quality.op3_line_quality(weird).collect()
     assert len(got) == 11 and all(r["n_words"] == 0 and r["base_failed"] and not r["kept"] for r in got if r["doc_id"] in (1, 2, 3))
