@@ -260,13 +260,22 @@ def test_decontamination_equals_brute_force(spark):
     want = decontaminate.brute_force(list(enumerate(texts)), items)
     got = {r["doc_id"]: tuple(r)[1:] for r in decontaminate.op4_decontaminate(df, b).collect()}
     assert got == want and any(v[-1] for v in want.values())
-    # several shards of the index give the same
-    m = decontaminate.mark_contamination(df, b, shard_words=40).collect()
-    assert {r["doc_id"]: (r["n_words"], len(r["hits"]), len(r["items"])) for r in m} == {k: v[:3] for k, v in want.items()}
+    # a full bitmap and joins by shuffle give the same
+    for options in ({"filter_bits": 64, "broadcast": 0}, {"filter_bits": 1 << 12}):
+        m = decontaminate.mark_contamination(df, b, **options).collect()
+        assert {r["doc_id"]: (r["n_words"], r["n_hit"], len(r["items"])) for r in m} == {k: v[:3] for k, v in want.items()}
     kept = {r["doc_id"] for r in decontaminate.drop_contaminated(df, b).collect()}
     assert kept == {k for k, v in want.items() if not v[-1]}
 
 
+def test_rows_are_dropped_by_their_own_text(spark):
+    item = "one two three four five six seven eight nine ten"
+    rows = [(None, f"x {item}", 1), (None, "clean", 2), (7, f"{item}.", 3), (7, "clean too", 4), (8, "clean", 5), (8, "clean", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `_k1` int")
+    got = sorted(r["_k1"] for r in decontaminate.drop_contaminated(df, bench(spark, [(1, item)])).collect())
+    assert got == [2, 4, 5, 5]
+
+
 def test_decontamination_odd_rows(spark, weird, nothing):
     b = bench(spark, [(1, "two three four five six seven eight nine ten eleven"), (2, None)])
     got = decontaminate.op4_decontaminate(weird, b).collect()
