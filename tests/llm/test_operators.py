@@ -306,7 +306,7 @@ def plain_components(ids, fps, distance):
     return {ids[i]: low[find(i)] for i in range(len(ids))}
 
 
-def test_fingerprint_equals_its_definition(spark):
+def test_fingerprint_equals_its_definition(spark, monkeypatch):
     rng = random.Random(5)
     for t in ["", None, "One", "a B c", words(rng, 50), "É É é é x y z É É"]:
         ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -314,10 +314,29 @@ def test_fingerprint_equals_its_definition(spark):
         h = [r[0] % 2**64 for r in spark.createDataFrame([(s,) for s in sh], "s string").select(F.xxhash64("s")).collect()] if sh else []
         want = sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
         assert simhash.fingerprint(t) == want
-
-
-@pytest.mark.parametrize("bucket", [1 << 18, 8])
-def test_near_duplicates_equal_all_pairs(spark, bucket):
+        monkeypatch.setattr(simhash, "PART", 0.1)
+        assert simhash.fingerprint(t) == want
+        monkeypatch.undo()
+    long = words(rng, 3000)
+    want = simhash.fingerprint(long)
+    monkeypatch.setattr(simhash, "PART", 7)
+    assert simhash.fingerprint(long) == want
+
+
+def test_rows_with_null_and_repeated_ids_are_judged_by_their_texts(spark):
+    rng = random.Random(13)
+    a, b, c = words(rng, 80), words(rng, 80), words(rng, 80)
+    rows = [(5, a, 1), (5, b, 2), (None, a, 3), (None, c, 4), (None, c, 5), (6, b, 6), (7, c + " x", 7), (9, words(rng, 80), 8), (9, words(rng, 80), 9)] + [(11, words(rng, 30), 10)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, _k int").repartition(3)
+    near = simhash.near_duplicates(df.select("doc_id", "text"))
+    assert sorted(r["component_id"] for r in near.collect()) == [5, 5, 5, 5, 7, 7, 7, 9, 9, 11, 11]
+    kept = simhash.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted(r["_k"] for r in kept.collect()) == [1, 2, 7, 8, 9, 10]
+
+
+@pytest.mark.parametrize(("bucket", "m"), [(1 << 18, None), (8, None), (1 << 18, 3), (8, 4)])
+def test_near_duplicates_equal_all_pairs(spark, bucket, m):
     rng = random.Random(9)
     base = [words(rng, 80) for _ in range(12)]
     texts = []
@@ -327,7 +346,7 @@ def test_near_duplicates_equal_all_pairs(spark, bucket):
             w[rng.randrange(len(w))] = words(rng, 1)
         texts.append(" ".join(w))
     texts += ["", None, " "]
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(frame(spark, texts), bucket=bucket).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(frame(spark, texts), bucket=bucket, m=m).collect()}
     assert got == plain_components(list(range(len(texts))), [simhash.fingerprint(t) for t in texts], 4)
 
 
