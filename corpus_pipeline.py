@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's ``docs``. All but the last return the
-columns of ``documents``.
+columns of ``documents``, further ones included. Every stage judges rows by their
+own text: ids may be null or repeated. Null, empty and blank texts are not toxic,
+are near duplicates of each other, hold no passage and no personal data, and pack
+to one token. An empty table gives an empty result. What a stage does with a very
+long text is in the docstring of its operator.
 """
 
 from __future__ import annotations
@@ -12,8 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from isochron.llm import decontaminate, packing, pii, simhash, toxicity
-from isochron.operators.selection import with_keys, without_keys
-from isochron.plans.runtime import cut_lineage, ensure_checkpoint_dir
+from isochron.plans.runtime import ensure_checkpoint_dir
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,14 +26,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group, once; rows with a null id stay."""
-    groups = cut_lineage(simhash.near_duplicates(docs))
-    kept = without_keys(docs, groups.where("doc_id <> component_id").select("doc_id"))
-    repeated = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    once = with_keys(kept, repeated).dropDuplicates(["doc_id"])
-    return without_keys(kept, repeated).unionByName(once)
+    """Keeps one row of each group of near duplicates: the one with the smallest id; groups are by text, not by id."""
+    return simhash.keep_one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,12 +57,19 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; intermediate tables go to the session's shared checkpoint folder."""
+    """All stages over ``documents``; intermediate tables go to the session's shared checkpoint folder, and all but the last are deleted."""
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            _delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
