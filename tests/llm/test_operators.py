@@ -596,6 +596,30 @@ def test_sweep_equals_trying_every_rule(spark):
     assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()}
     assert all(got[k] == want[k] or len(got[k][2]) == len(want[k][2]) for k in want)
     assert url_filter.judge_urls(df.limit(0), rules).count() == 0
+    # a sweep goes on over small batches, and rules in parts give the same
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for part in (500_000, 4):
+            again = {r["page_id"]: tuple(r)[1:] for r in url_filter.judge_urls(df.coalesce(1), rules, part_rules=part).collect()}
+            assert again == got
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_url_ids_stay_as_they_are(spark):
+    rows = [(None, "http://a.net/x", 1), (9007199254740993, "http://b.net/", 2), (9007199254740995, None, 3), (9007199254740995, None, 3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, `_key` int")
+    got = [(r["page_id"], r["verdict"]) for r in url_filter.judge_urls(df, [("block", "net", "/")]).collect()]
+    assert sorted(got, key=repr) == sorted([(None, "block"), (9007199254740993, "block"), (9007199254740995, "allow"), (9007199254740995, "allow")], key=repr)
+
+
+def test_sweep_enters_anywhere():
+    rng = random.Random(8)
+    hosts = [".".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    spans = url_filter._intervals([url_filter.Rule("block", h) for h in set(hosts[:20]) if "." in h])
+    keys = sorted(".".join(reversed(h.split("."))) + "." for h in hosts)
+    whole = list(url_filter.sweep(keys, ["/"] * len(keys), spans))
+    assert whole == [url_filter.Sweep(spans).best(k, "/") for k in keys] and any(whole) and not all(whole)
 
 
 # personal data
@@ -638,6 +662,25 @@ def test_added_kinds_checksums_and_context(spark, weird, nothing):
     assert pii.redact(weird).columns == weird.columns
 
 
+def test_account_numbers_end_where_their_country_says(spark):
+    t = ["IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF", "NO93 8601 1117 947 and GB29NWBK60161331926819.", "DE89370400440532013000X", "BE68539007547034 MT84MALT011000012345MTLCAST001S"]
+    got = {r["doc_id"]: [s["text"] for s in r["spans"] if s["kind"] == "iban"] for r in pii.pii_spans(frame(spark, t)).collect()}
+    assert got == {0: ["DE89 3704 0044 0532 0130 00"], 1: ["NO93 8601 1117 947", "GB29NWBK60161331926819"], 2: [], 3: ["BE68539007547034", "MT84MALT011000012345MTLCAST001S"]}
+
+
+def test_context_moves_scores_both_ways(spark):
+    t = ["4111111111111111", "visa 4111111111111111", "sample 4111111111111111", "phone 555-123-4567", "dummy phone 555-123-4567", "sample iban DE89370400440532013000", "placeholder DE89370400440532013000"]
+    got = {r["doc_id"]: [(s["kind"], round(s["score"], 6)) for s in r["spans"]] for r in pii.pii_spans(frame(spark, t)).collect()}
+    assert got == {0: [("card", 0.6)], 1: [("card", 1.0)], 2: [("card", 0.3)], 3: [("tel", 0.7)], 4: [], 5: [("iban", 0.9)], 6: []}
+
+
+def test_redaction_leaves_other_columns(spark):
+    rows = [(1, "mail a@b.cd", 11, "t", [1], "x.y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, `_t` string, `_base` array<int>, `_pii_Email.z` string")
+    got = pii.redact(df)
+    assert got.schema == df.schema and [tuple(r) for r in got.collect()] == [(1, "mail <EMAIL>", 12, "t", [1], "x.y")]
+
+
 # registered SQL
 
 
