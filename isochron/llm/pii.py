@@ -17,12 +17,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isochron.llm.rows import column, free
+
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 
 
 @dataclass(frozen=True)
 class Kind:
-    """``pattern`` proposes; ``check`` confirms; ``context`` words before a span add to its score."""
+    """``pattern`` proposes; ``check`` confirms; ``context`` words before a span add to its score, ``against`` words lower it."""
 
     name: str
     pattern: str
@@ -30,24 +32,34 @@ class Kind:
     check: str = "any"  # any, octets, luhn, digits, mod97
     prior: float = 1.0
     context: str = ""
+    against: str = "example|sample|dummy|placeholder"
+
 
+# Lengths of account numbers by country (ISO 13616 registry), with their check digits.
+_IBAN = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN_PATTERN = r"\b(?:" + "|".join(f"(?:{v.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, v in _IBAN.items()) + r")\b"
 
-#: Always reported, whatever the score (prior 1).
+#: Always reported, whatever the score.
 BASE = (
-    Kind("email", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", prior=1.0, context="mail|contact|write"),
-    Kind("ip", r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", "octets", 1.0, "ip|host|server|address"),
-    Kind("card", r"[0-9](?:[ -]?[0-9])++", r"[0-9][0-9 -]{10}", "luhn", 1.0, "card|visa|credit|pay"),
-    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", "digits", 1.0, "tel|phone|call|fax|mobile"),
+    Kind("email", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", "any", 0.8, "mail|contact|write"),
+    Kind("ip", r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", "octets", 0.5, "ip|host|server|address", "version|release|section|chapter"),
+    Kind("card", r"[0-9](?:[ -]?[0-9])++", r"[0-9][0-9 -]{10}", "luhn", 0.6, "card|visa|credit|pay", "isbn|serial|order|part|example|sample"),
+    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", "digits", 0.6, "tel|phone|call|fax|mobile", "version|order|part|example|sample"),
 )
 #: Reported when prior plus context reaches the threshold.
 ADDED = (
-    Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}\b", r"[A-Z]{2}[0-9]{2}", "mod97", 0.8, "iban|account|konto|bank"),
+    Kind("iban", _IBAN_PATTERN, r"[A-Z]{2}[0-9]{2}", "mod97", 0.8, "iban|account|konto|bank"),
     Kind("tel", r"\b[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}\b", r"[0-9]{3}[ .-][0-9]{4}", "any", 0.3, "tel|phone|call|fax|mobile"),
     Kind("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", r"[0-9]{3}-[0-9]{2}-", "any", 0.3, "ssn|social|security"),
 )
 #: Code points before a span in which context words count.
 CONTEXT_CHARS = 40
 CONTEXT_BONUS = 0.4
+CONTEXT_MALUS = 0.3
 THRESHOLD = 0.6
 
 
@@ -108,9 +120,10 @@ def find_spans(text: Column, kind: Kind) -> Column:
         start = acc["pos"] + F.length(x["p"])
         end = start + F.length(x["m"])
         before = F.lower(F.substring(text, F.greatest(start - CONTEXT_CHARS + 1, F.lit(1)).cast("int"), F.least(start, F.lit(CONTEXT_CHARS)).cast("int")))
-        bonus = F.when(before.rlike(rf"(?:^|[^a-z])(?:{kind.context})"), CONTEXT_BONUS).otherwise(0.0) if kind.context else F.lit(0.0)
+        near = lambda words, weight: F.when(before.rlike(rf"(?:^|[^a-z])(?:{words})"), weight).otherwise(0.0)
+        score = F.lit(kind.prior) + near(kind.context, CONTEXT_BONUS) - near(kind.against, CONTEXT_MALUS)
         span = F.struct(
-            start.alias("start"), end.alias("end"), F.lit(kind.name).alias("kind"), x["m"].alias("text"), F.least(F.lit(1.0), F.lit(kind.prior) + bonus).alias("score")
+            start.alias("start"), end.alias("end"), F.lit(kind.name).alias("kind"), x["m"].alias("text"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)).alias("score")
         ).cast(_SPAN)
         return F.struct(
             end.alias("pos"),
@@ -126,18 +139,10 @@ def _overlaps(a: Column, spans: Column) -> Column:
     return F.exists(spans, lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"]))
 
 
-def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, ``base`` and ``spans`` (arrays of start, end, kind, text, score).
-
-    ``base`` holds the confirmed spans of BASE by start, then kind as listed;
-    ``spans`` adds those of ADDED that reach THRESHOLD and overlap no base span.
-    Null and empty texts have none. Repeated rows stay repeated; other columns
-    are ignored.
-    """
-    text = F.coalesce(F.col("_t"), F.lit(""))
-    df = docs.select(F.col(id_col), F.col(text_col).alias("_t"))
+def _with_spans(df: DataFrame, text: Column, prefix: str) -> DataFrame:
+    """Adds ``prefix`` + base and ``prefix`` + all: the confirmed spans of BASE, and those with the ones of ADDED that count, each in order."""
     for k in BASE + ADDED:
-        df = df.withColumn(f"_{k.name}", find_spans(text, k))
+        df = df.withColumn(f"{prefix}_{k.name}", find_spans(text, k))
     order = {k.name: i for i, k in enumerate(BASE + ADDED)}
     rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
 
@@ -145,13 +150,24 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("a"), rank[s["kind"]].alias("k"), s["end"].alias("b"), s.alias("s")))
         return F.transform(F.array_sort(keyed), lambda x: x["s"])
 
-    df = df.withColumn("base", in_order(F.concat(*[F.col(f"_{k.name}") for k in BASE])))
-    added = F.filter(
-        F.concat(*[F.col(f"_{k.name}") for k in ADDED]), lambda s: (s["score"] >= THRESHOLD) & ~_overlaps(s, F.col("base"))
-    )
-    df = df.withColumn("_added", added)
-    spans = F.when(F.size("_added") > 0, in_order(F.concat("base", "_added"))).otherwise(F.col("base"))
-    return df.select(id_col, "base", spans.alias("spans"))
+    base, more = f"{prefix}base", f"{prefix}added"
+    df = df.withColumn(base, in_order(F.concat(*[F.col(f"{prefix}_{k.name}") for k in BASE])))
+    added = F.filter(F.concat(*[F.col(f"{prefix}_{k.name}") for k in ADDED]), lambda s: (s["score"] >= THRESHOLD) & ~_overlaps(s, F.col(base)))
+    df = df.withColumn(more, added)
+    return df.withColumn(f"{prefix}all", F.when(F.size(more) > 0, in_order(F.concat(base, more))).otherwise(F.col(base)))
+
+
+def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, ``base`` and ``spans`` (arrays of start, end, kind, text, score).
+
+    ``base`` holds the confirmed spans of BASE by start, then kind as listed;
+    ``spans`` adds those of ADDED that reach THRESHOLD and overlap no base span.
+    Null and empty texts have none. A long text is searched whole, kind by kind, in
+    memory of a few times its size and its spans. Repeated rows stay repeated; an
+    empty table gives an empty result; other columns are ignored, whatever their names.
+    """
+    df = docs.select(column(id_col).alias("id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
+    return _with_spans(df, F.col("text"), "_").select(F.col("id").alias(id_col), F.col("_base").alias("base"), F.col("_all").alias("spans"))
 
 
 def digest(spans: Column) -> Column:
@@ -159,36 +175,32 @@ def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with each span of its text replaced by ``<KIND>``; ``n_chars``, if there, follows the new text.
 
-    A span that begins inside an earlier one is merged into it. Null texts stay null.
+    A span that begins inside an earlier one is merged into it. Null texts stay null,
+    texts without spans as they are. All other columns stay as they are, whatever
+    their names: what is computed has names that no column begins with.
     """
-    cols = docs.columns
-    df = docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
-    for k in BASE + ADDED:
-        df = df.withColumn(f"_pii_{k.name}", find_spans(F.col("_t"), k))
-    base = F.concat(*[F.col(f"_pii_{k.name}") for k in BASE])
-    df = df.withColumn("_base", base)
-    added = F.filter(F.concat(*[F.col(f"_pii_{k.name}") for k in ADDED]), lambda s: (s["score"] >= THRESHOLD) & ~_overlaps(s, F.col("_base")))
-    df = df.withColumn("_all", F.array_sort(F.concat("_base", added)))
+    p = free("_pii", docs.columns)
+    text = F.col(f"{p}text")
+    df = _with_spans(docs.withColumn(f"{p}text", F.coalesce(column(text_col), F.lit(""))), text, p)
     zero = F.struct(F.lit(0).cast("bigint").alias("pos"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("_t"), (acc["pos"] + 1).cast("int"), (s["start"] - acc["pos"]).cast("int"))
+        gap = F.substring(text, (acc["pos"] + 1).cast("int"), (s["start"] - acc["pos"]).cast("int"))
         return F.when(
             s["start"] >= acc["pos"],
             F.struct(s["end"].alias("pos"), F.concat(acc["out"], gap, F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out")),
         ).otherwise(F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), acc["out"].alias("out")))
 
-    new = F.aggregate(
-        F.col("_all"), zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("_t"), (acc["pos"] + 1).cast("int"), F.length("_t")))
-    )
-    new = F.when(F.col(text_col).isNull(), F.lit(None)).when(F.size("_all") > 0, new).otherwise(F.col(text_col))
-    df = df.withColumn(text_col, new)
-    if "n_chars" in cols:
-        df = df.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return df.select(*cols)
+    spans = F.col(f"{p}all")
+    new = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["pos"] + 1).cast("int"), F.length(text))))
+    df = df.withColumn(f"{p}new", F.when(column(text_col).isNull(), F.lit(None)).when(F.size(spans) > 0, new).otherwise(column(text_col)))
+    out = {text_col: F.col(f"{p}new")}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.length(f"{p}new").cast(docs.schema["n_chars"].dataType)
+    return df.select(*[out.get(c, column(c)).alias(c) for c in docs.columns])
 
 
 def op10_pii(docs: DataFrame) -> DataFrame:

@@ -131,7 +131,7 @@ def _plain(pattern: str) -> str:
 def _pii_sql() -> str:
     kinds = pii.BASE + pii.ADDED
     found = " UNION ALL ".join(
-        f"SELECT doc_id, t, '{k.name}' AS kind, {i} AS k, {k.prior} AS prior, '(?:^|[^a-z])(?:{k.context})' AS ctx, regexp_extract_all(t, '{_plain(k.pattern)}') AS ms, string_split_regex(t, '{_plain(k.pattern)}') AS ps FROM d"
+        f"SELECT doc_id, t, '{k.name}' AS kind, {i} AS k, {k.prior} AS prior, '(?:^|[^a-z])(?:{k.context})' AS ctx, '(?:^|[^a-z])(?:{k.against})' AS con, regexp_extract_all(t, '{_plain(k.pattern)}') AS ms, string_split_regex(t, '{_plain(k.pattern)}') AS ps FROM d"
         for i, k in enumerate(kinds)
     )
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
@@ -155,11 +155,11 @@ def _pii_sql() -> str:
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 f AS ({found}),
 p AS (
-  SELECT doc_id, t, kind, k, prior, ctx, ms[i] AS m, cast(list_sum([length(x) for x in ps[1:i]]) + coalesce(list_sum([length(x) for x in ms[1:i - 1]]), 0) AS BIGINT) AS a
+  SELECT doc_id, t, kind, k, prior, ctx, ms[i] AS m, con, cast(list_sum([length(x) for x in ps[1:i]]) + coalesce(list_sum([length(x) for x in ms[1:i - 1]]), 0) AS BIGINT) AS a
   FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM f WHERE len(ms) > 0)),
 s AS (
-  SELECT doc_id, kind, k, a, a + length(m) AS b, least(1, prior + CASE WHEN regexp_matches(lower(substr(t, greatest(a - {pii.CONTEXT_CHARS}, 0) + 1, least(a, {pii.CONTEXT_CHARS}))), ctx) THEN {pii.CONTEXT_BONUS} ELSE 0 END) AS score
-  FROM p WHERE CASE {cases} END),
+  SELECT doc_id, kind, k, a, a + length(m) AS b, greatest(0, least(1, prior + CASE WHEN regexp_matches(bef, ctx) THEN {pii.CONTEXT_BONUS} ELSE 0 END - CASE WHEN regexp_matches(bef, con) THEN {pii.CONTEXT_MALUS} ELSE 0 END)) AS score
+  FROM (SELECT *, lower(substr(t, greatest(a - {pii.CONTEXT_CHARS}, 0) + 1, least(a, {pii.CONTEXT_CHARS}))) AS bef FROM p) WHERE CASE {cases} END),
 base AS (SELECT * FROM s WHERE k < {base}),
 added AS (SELECT * FROM s WHERE k >= {base} AND score >= {pii.THRESHOLD} AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = s.doc_id AND s.a < base.b AND base.a < s.b)),
 x AS (SELECT doc_id, {counts}, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k, b) AS line FROM base GROUP BY doc_id),
