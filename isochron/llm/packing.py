@@ -22,9 +22,11 @@ lost task runs again, and so are the sequence ids.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import sys
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from types import ModuleType
 from zlib import crc32
@@ -35,6 +37,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isochron.llm.rows import column
+
 
 @dataclass(frozen=True)
 class PackingConfig:
@@ -57,32 +61,78 @@ def _process_cache() -> dict:
     return sys.modules.setdefault("isochron_process_cache", ModuleType("isochron_process_cache")).__dict__
 
 
-def _tokenizer(vocabulary: str, folder: str | None) -> tuple[Callable[[str], np.ndarray], np.ndarray]:
-    key = f"tokenizer {folder}/{vocabulary}"
-    cache = _process_cache()
-    if key not in cache:
-        cache[key] = _load_tokenizer(vocabulary, folder)
-    return cache[key]
+#: What may end a sentence; blanks may follow.
+_MARKS = (".", "!", "?", "\n", "\u3002", "\uff01", "\uff1f", "\u2026", "\u061f", "\u06d4", "\u0964", "\u0965", "\u1362", "\u17d4")
+#: Long texts are tokenized in pieces of about so many characters.
+_PIECE_CHARS = 1 << 20
+#: A lone blank between other characters; a token never goes across its left side.
+_SEAM = re.compile(r"(?<=\S) (?=\S)")
 
 
-def _load_tokenizer(vocabulary: str, folder: str | None) -> tuple[Callable[[str], np.ndarray], np.ndarray]:
-    """(text -> ids, table: does the token end a sentence).
+class Tokens:
+    """Ids and sentence ends of a text, as the JSON vocabulary file gives them, its added tokens included.
 
-    The rank file holds the same vocabulary as the JSON one and gives the same
-    ids several times faster.
+    The rank file holds the same vocabulary and gives the same ids several times
+    faster; the added tokens, which it lacks, are split off before.
     """
-    import public_tokenizers
-    import tiktoken
 
-    name = f"{vocabulary}.tiktoken"
-    path = f"{folder}/{name}" if folder else public_tokenizers.path(name)
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    enc = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    ends = np.zeros(max(ranks.values()) + 2, dtype=bool)
-    for token, i in ranks.items():
-        ends[i] = token.rstrip(b" ")[-1:] in (b".", b"!", b"?", b"\n") if token.strip(b" ") else False
-    return lambda text: np.array(enc.encode_ordinary(text), dtype=np.uint32), ends
+    def __init__(self, vocabulary: str, folder: str | None) -> None:
+        import public_tokenizers
+        import tiktoken
+
+        at = lambda name: f"{folder}/{name}" if folder else public_tokenizers.path(name)
+        with open(at(f"{vocabulary}.tiktoken"), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        with open(at(f"{vocabulary}.json"), encoding="utf-8") as f:
+            self.added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+        self._split = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+        enc = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._encode = lambda text: np.array(enc.encode_ordinary(text), dtype=np.uint32)
+        self.size = np.zeros(max([*ranks.values(), *self.added.values()]) + 1, dtype=np.int64)  # bytes of each token
+        for token, i in [*ranks.items(), *((x.encode(), i) for x, i in self.added.items())]:
+            self.size[i] = len(token)
+
+    def _plain(self, text: str) -> np.ndarray:
+        out, at = [], 0
+        while len(text) - at > _PIECE_CHARS and (seam := _SEAM.search(text, at + _PIECE_CHARS)):
+            out.append(self._encode(text[at : seam.start()]))
+            at = seam.start()
+        last = self._encode(text[at:] if at else text)
+        return np.concatenate([*out, last]) if out else last
+
+    def encode(self, text: str) -> np.ndarray:
+        if self._split is None or not any(x in text for x in self.added):
+            return self._plain(text)
+        ids = [np.array([self.added[x]], dtype=np.uint32) if k % 2 else self._plain(x) for k, x in enumerate(self._split.split(text))]
+        return np.concatenate(ids)
+
+    def sentence_ends(self, text: str, ids: np.ndarray) -> np.ndarray:
+        """Which tokens end where a sentence does: the text up to there ends with a mark, blanks aside."""
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        if not len(raw):
+            return np.zeros(len(ids), dtype=bool)
+        mark = np.zeros(len(raw), dtype=bool)
+        for m in _MARKS:
+            b = m.encode()
+            if len(b) == 1:
+                mark |= raw == b[0]
+            elif m in text:
+                at = np.flatnonzero(raw == b[-1])
+                at = at[at >= len(b) - 1]
+                for k in range(len(b) - 1):
+                    at = at[raw[at - len(b) + 1 + k] == b[k]]
+                mark[at] = True
+        last = np.maximum.accumulate(np.where(raw == 32, -1, np.arange(len(raw))))  # the last byte that is no blank
+        before = last[np.cumsum(self.size[ids]) - 1]
+        return (before >= 0) & mark[before]
+
+
+def _tokens(vocabulary: str, folder: str | None) -> Tokens:
+    key = f"tokenizer {folder}/{vocabulary}"
+    cache = _process_cache()
+    if key not in cache:
+        cache[key] = Tokens(vocabulary, folder)
+    return cache[key]
 
 
 def plan_cuts(n: int, penalty: dict[int, float], capacity: int, inside: float, window_cost: float = 0.0) -> list[int]:
@@ -153,27 +203,32 @@ class _Packer:
 
     def __init__(self, cfg: PackingConfig, first: int) -> None:
         self.cfg, self.sequence = cfg, first
-        self.docs: deque[tuple[object, np.ndarray, int]] = deque()  # id, ids not yet placed, ids before them
+        # id, ids not yet placed, which of them end a sentence, ids before them, ids of the whole document
+        self.docs: deque[tuple[object, np.ndarray, np.ndarray, int, int]] = deque()
         self.size = 0
         self.rows: list[tuple] = []
-        self.encode, self.ends = _tokenizer(cfg.vocabulary, cfg.folder)
+        self.tokens = _tokens(cfg.vocabulary, cfg.folder)
 
     def add(self, doc_id: object, text: str | None) -> None:
-        ids = np.append(self.encode(text or ""), np.uint32(self.cfg.end_id))
-        self.docs.append((doc_id, ids, 0))
-        self.size += len(ids)
-        if self.size >= self.cfg.block_tokens:
-            self.place(final=False)
+        ids = self.tokens.encode(text or "")
+        ends = np.append(self.tokens.sentence_ends(text or "", ids), False)
+        ids = np.append(ids, np.uint32(self.cfg.end_id))
+        for at in range(0, len(ids), self.cfg.block_tokens):  # a plan covers no more than two blocks, however long the text
+            part = slice(at, at + self.cfg.block_tokens)
+            self.docs.append((doc_id, ids[part], ends[part], at, len(ids)))
+            self.size += len(ids[part])
+            if self.size >= self.cfg.block_tokens:
+                self.place(final=False)
 
     def place(self, final: bool) -> None:
         cfg = self.cfg
         penalty: dict[int, float] = {}
         at = 0
-        for _, ids, _ in self.docs:
-            inner = np.flatnonzero(self.ends[np.minimum(ids[:-1], len(self.ends) - 1)]) + 1 + at
-            penalty.update(dict.fromkeys(inner.tolist(), cfg.sentence_penalty))
+        for _, ids, ends, before, total in self.docs:
+            penalty.update(dict.fromkeys((np.flatnonzero(ends) + 1 + at).tolist(), cfg.sentence_penalty))
             at += len(ids)
-            penalty[at] = 0.0
+            if before + len(ids) == total:
+                penalty[at] = 0.0
         cuts = plan_cuts(at, penalty, cfg.capacity, cfg.inside_penalty, cfg.window_cost)
         if not final:
             cuts = cuts[: max(1, len(cuts) - 8)]
@@ -186,12 +241,12 @@ class _Packer:
     def _emit(self, length: int) -> None:
         offset = 0
         while offset < length:
-            doc_id, ids, before = self.docs.popleft()
+            doc_id, ids, ends, before, total = self.docs.popleft()
             n = min(len(ids), length - offset)
             piece = ids[:n]
-            self.rows.append((doc_id, before, n, crc32(piece.astype("<u4").tobytes()), before + len(ids), self.sequence, offset))
+            self.rows.append((doc_id, before, n, crc32(piece.astype("<u4").tobytes()), total, self.sequence, offset))
             if n < len(ids):
-                self.docs.appendleft((doc_id, ids[n:], before + n))
+                self.docs.appendleft((doc_id, ids[n:], ends[n:], before + n, total))
             offset += n
         self.sequence += 1
 
@@ -203,8 +258,10 @@ def pack(docs: DataFrame, cfg: PackingConfig = PackingConfig(), id_col: str = "d
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is one token, the end id. Rows with a null id or the same
-    id are packed like any other. An empty table gives no rows. Other columns are
-    ignored. Sequence ids are unique over all partitions and ascend in each.
+    id are packed like any other. A long text is tokenized in pieces and planned in
+    blocks; of all of it the ids are held (some 20 bytes a character in all). An
+    empty table gives no rows. Other columns are ignored, whatever their names.
+    Sequence ids are unique over all partitions and ascend in each.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -221,13 +278,15 @@ def pack(docs: DataFrame, cfg: PackingConfig = PackingConfig(), id_col: str = "d
             kind = batch.schema.field(0).type
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 packer.add(doc_id, text.as_py())
+                if len(packer.rows) > 100_000:
+                    yield out()
             if packer.rows:
                 yield out()
         packer.place(final=True)
         if packer.rows:
             yield out()
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {id_type}, " + ", ".join(f"{c} bigint" for c in _COLUMNS))
+    return docs.select(column(id_col), column(text_col)).mapInArrow(run, f"`{id_col}` {id_type}, " + ", ".join(f"{c} bigint" for c in _COLUMNS))
 
 
 def padding(pieces: DataFrame, capacity: int = 2048) -> DataFrame:

@@ -34,7 +34,6 @@ def check_pieces(pieces, texts, capacity=2048):
     import public_tokenizers
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     seqs, docs = {}, {}
     for r in pieces:
         seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -57,7 +56,7 @@ def check_pieces(pieces, texts, capacity=2048):
 
 def test_packing_places_each_id_once(spark):
     rng = random.Random(1)
-    texts = {i: ". ".join(words(rng, rng.randint(1, 30)) for _ in range(rng.randint(1, 60))) for i in range(120)} | {500: None, 501: "", 502: "<|endoftext|> text", 503: words(rng, 9000)}
+    texts = {i: ". ".join(words(rng, rng.randint(1, 30)) for _ in range(rng.randint(1, 60))) for i in range(120)} | {500: None, 501: "", 502: "a <|endoftext|> text<|endoftext|><|endof", 503: words(rng, 9000), 504: "漢字。仮名！ é… x"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3, "doc_id")
     pieces = packing.op1_packing(df)
     check_pieces(pieces.collect(), texts)
@@ -65,6 +64,36 @@ def test_packing_places_each_id_once(spark):
     assert p["padding"] < 0.02 * p["tokens"]
 
 
+def test_tokens_of_pieces_equal_those_of_the_whole(monkeypatch):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    rng = random.Random(31)
+    tok, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.Tokens("byte_bpe_50k", None)
+    monkeypatch.setattr(packing, "_PIECE_CHARS", 9)
+    bits = [" ", "  ", "\n", "word", "12", "'s", "don't", ".", "?!", "é", "漢字。", "<|endoftext|>", "\u00a0", "\t", "x"]
+    for _ in range(400):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))
+        ids = own.encode(t)
+        assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids, t
+        ends, at = own.sentence_ends(t, ids), 0
+        raw = t.encode()
+        for i, e in zip(ids, ends, strict=True):
+            at += int(own.size[i])
+            assert e == raw[:at].rstrip(b" ").endswith((b".", b"!", b"?", b"\n", "。".encode())), (t, at)
+        assert at == len(raw)
+
+
+def test_long_texts_are_planned_in_blocks(spark):
+    rng = random.Random(32)
+    texts = {1: ". ".join(words(rng, 12) for _ in range(900)), 2: "x", 3: "no end " * 3000}
+    pieces = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1), packing.PackingConfig(block_tokens=5000))
+    check_pieces(pieces.collect(), texts)
+    p = packing.padding(pieces).first()
+    assert p["padding"] <= 2048
+
+
 def test_packing_odd_rows(weird, nothing):
     got = packing.op1_packing(weird)
     assert got.select("doc_id", "doc_tokens").distinct().count() == 10 and got.where("start = 0").count() == 11
