@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -21,11 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)(?=[\s/>])([^>]*)>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)",
-    re.S | re.I,
-)
+# Scanning goes forward only: repeats are possessive, and what can fail is tried no more once it has failed.
+_TEXT = re.compile(r"[^<]++")
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|))*+)>""")
+_LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _SKIPPED = "script style noscript template svg iframe textarea select title".split()
 _OPEN = {t: re.compile(rf"<{t}(?=[\s/>])", re.I) for t in _SKIPPED}
 _CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in _SKIPPED}
@@ -51,8 +51,9 @@ _ENDS_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr"
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]  # block-level ancestors, outermost first
-    names: tuple[str, ...]  # words of their class, id and role attributes
+    tag: str  # the innermost block-level ancestor; "-" if there is none
+    tags: frozenset[str]  # block-level ancestors
+    names: frozenset[str]  # words of their class, id and role attributes
     linked: int  # characters inside links
 
 
@@ -80,10 +81,62 @@ def _skip(page: str, tag: str, attrs: str, at: int, closes: dict[str, re.Match[s
     return block.start() if block else len(page)
 
 
-def leaf_blocks(page: str | None) -> list[Block]:
-    """Non-empty leaf blocks in page order; white space inside one is a single blank."""
+#: Elements that an open one of inside doesn't end with those around.
+_SCOPES = frozenset(("ul", "ol", "dl", "table"))
+
+
+class _Open:
+    """The open block-level elements. Each holds what is open up to it, so that a block of any depth costs the same."""
+
+    def __init__(self, known: frozenset[str] | None) -> None:
+        self.known = known
+        self.stack: list[tuple[str, frozenset[str], frozenset[str]]] = []
+        self.count: Counter[str] = Counter()
+        self.scopes: list[Counter[str]] = [Counter()]
+
+    def top(self) -> tuple[str, frozenset[str], frozenset[str]]:
+        return self.stack[-1] if self.stack else ("-", frozenset(), frozenset())
+
+    def push(self, tag: str, names: set[str]) -> None:
+        _, tags, above = self.top()
+        new = {tag} if self.known is None or f"in={tag}" in self.known or tag in ("article", "main") else set()
+        names = names if self.known is None else {n for n in names if f"name={n}" in self.known}
+        self.stack.append((tag, tags if new <= tags else tags | new, above if names <= above else above | names))
+        self.count[tag] += 1
+        self.scopes[-1][tag] += 1
+        if tag in _SCOPES:
+            self.scopes.append(Counter())
+
+    def pop(self) -> str:
+        tag = self.stack.pop()[0]
+        if tag in _SCOPES:
+            self.scopes.pop()
+        self.count[tag] -= 1
+        self.scopes[-1][tag] -= 1
+        return tag
+
+    def close(self, tag: str) -> None:
+        if self.count[tag]:
+            while self.pop() != tag:
+                pass
+
+    def end(self, tags: tuple[str, ...]) -> None:
+        """Close up to the innermost of ``tags`` that is open since the last list or table began."""
+        if any(self.scopes[-1][t] for t in tags):
+            while self.pop() not in tags:
+                pass
+
+
+def leaf_blocks(page: str | None, known: frozenset[str] | None = None) -> list[Block]:
+    """Non-empty leaf blocks in page order; white space inside one is a single blank.
+
+    With ``known`` (feature names) only ancestors and names among them are kept.
+    Time and memory are in proportion to the page: quotes count only around a
+    value, a tag whose values hide every later ``>`` ends at the next one whatever
+    the quotes, and so do all tags after it.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    at_open = _Open(known)
     text: list[str] = []
     linked = links = 0
 
@@ -91,26 +144,41 @@ def leaf_blocks(page: str | None) -> list[Block]:
         nonlocal text, linked
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            out.append(Block(joined, tuple(t for t, _ in stack), tuple(n for _, ns in stack for n in ns), linked))
+            out.append(Block(joined, *at_open.top(), linked))
         text, linked = [], 0
 
     page, at = page or "", 0
     closes: dict[str, re.Match[str] | None] = {}
-    while m := _PIECE.search(page, at):
-        at = m.end()
-        raw = m[6]
-        if raw is not None:
+    last, pattern = page.rfind(">"), _TAG
+    while at < len(page):
+        m = _TEXT.match(page, at)
+        if m is None and at < last:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                at = len(page) if end < 0 else end + 3
+                continue
+            if page[at + 1] in "!?":
+                at = page.index(">", at) + 1
+                continue
+            m = pattern.match(page, at)
+            if m is None and pattern is _TAG and page[at + 1 : at + 3].lstrip("/")[:1].isalpha():
+                pattern = _LOOSE_TAG
+                m = pattern.match(page, at)
+        elif m is None and page.startswith("<!--", at):
+            break
+        if m is None or m.re is _TEXT:
+            raw = m[0] if m else "<"
+            at += len(raw)
             text.append(raw)
             if links:
                 linked += len(raw.strip())
             continue
-        if m[1] is not None:
-            at = _skip(page, m[1].lower(), m[2], at, closes)
-            continue
-        tag = m[4]
-        if tag is None:
+        at = m.end()
+        tag, closing, attrs = m[2].lower(), bool(m[1]), m[3]
+        if tag in _OPEN:
+            if not closing:
+                at = _skip(page, tag, attrs, at, closes)
             continue
-        tag, closing = tag.lower(), bool(m[3])
         if tag in _INLINE:
             if tag == "br":
                 text.append(" ")
@@ -120,24 +188,14 @@ def leaf_blocks(page: str | None) -> list[Block]:
         flush()
         links = 0
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            at_open.close(tag)
             continue
-        if tag in _ENDS_P and stack and stack[-1][0] == "p":
-            stack.pop()
-        ends = _ENDS_SAME.get(tag)
-        if ends:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    del stack[i:]
-                    break
-                if stack[i][0] in ("ul", "ol", "dl", "table"):
-                    break
-        if tag not in _VOID and not m[5].endswith("/"):
-            names = tuple(w.lower() for a in _ATTR.findall(m[5]) for w in _NAME.findall(a[0] or a[1] or a[2])) if m[5] else ()
-            stack.append((tag, names))
+        if tag in _ENDS_P and at_open.top()[0] == "p":
+            at_open.pop()
+        if tag in _ENDS_SAME:
+            at_open.end(_ENDS_SAME[tag])
+        if tag not in _VOID and not attrs.endswith("/"):
+            at_open.push(tag, {w.lower() for a in _ATTR.findall(attrs) for w in _NAME.findall(a[0] or a[1] or a[2])} if attrs else set())
     flush()
     return out
 
@@ -152,9 +210,9 @@ def features(blocks: list[Block]) -> list[tuple[str, ...]]:
     for i, b in enumerate(blocks):
         size = len(b.text)
         density = b.linked / size
-        f = ["bias", f"tag={b.tags[-1] if b.tags else '-'}"]
-        f += {f"in={t}" for t in b.tags}
-        f += {f"name={w}" for w in b.names}
+        f = ["bias", f"tag={b.tag}"]
+        f += sorted(f"in={t}" for t in b.tags)
+        f += sorted(f"name={w}" for w in b.names)
         f.append(f"len={min(size.bit_length(), 10)}")
         f.append("links=" + ("none" if not b.linked else "some" if density < 0.5 else "most"))
         f.append(f"stop={bool(_STOP.search(b.text))}")
@@ -170,6 +228,7 @@ class CRF:
 
     def __init__(self, index: dict[str, int], unary: np.ndarray, pair: np.ndarray) -> None:
         self.index, self.unary, self.pair = index, unary, pair
+        self.known = frozenset(index)
 
     def emit(self, feats: list[tuple[str, ...]]) -> np.ndarray:
         get = self.index.get
@@ -282,10 +341,19 @@ def labelled_pages(count: int = 240, seed: int = 11) -> list[tuple[str, list[str
         if rng.random() < 0.3:
             body.append(noise["comments"]())
         wrap = rng.choices(
-            ("<article>{}</article>", "<main><article>{}</article></main>", '<div class="content"><article>{}</article></div>', "<main>{}</main>", '<div class="{c}">{}</div>'),
-            (8, 3, 2, 2, 3),
+            (
+                "<article>{}</article>",
+                "<main><article>{}</article></main>",
+                '<div class="content"><article>{}</article></div>',
+                "<main>{}</main>",
+                '<div class="{c}">{}</div>',
+                "<table><tr><td>{}</td></tr></table>",
+                '<table class="layout" width="100%"><tr><td class="menu"><ul>{menu}</ul></td><td class="{c}">{}</td></tr></table>',
+                "<table><tr><td><ul>{menu}</ul></td><td>{}</td></tr></table>",
+            ),
+            (8, 3, 2, 2, 3, 1.5, 1, 1.5),
         )[0]
-        article = wrap.format("".join(body), c=rng.choice(("content", "article", "post", "entry-content", "article-body", "main-content")))
+        article = wrap.format("".join(body), c=rng.choice(("content", "article", "post", "entry-content", "article-body", "main-content")), menu=links(3))
         before = [noise[k]() for k in rng.sample(("nav", "menu", "header", "ad", "ad_bare", "notice", "form", "share"), rng.randint(1, 4))]
         after = [noise[k]() for k in rng.sample(("aside", "sidebar", "comments", "ad", "ad_bare", "share", "form", "notice"), rng.randint(0, 3))]
         end = rng.choice(footers)() if rng.random() < 0.95 else ""
@@ -310,15 +378,17 @@ def default_model(count: int = 240, seed: int = 11) -> CRF:
 
 def main_text(page: str | None, model: CRF) -> str:
     """The kept blocks of a page, one a line; "" if there are none."""
-    blocks = leaf_blocks(page)
+    blocks = leaf_blocks(page, model.known)
     return "\n".join(b.text for b, y in zip(blocks, model.decode(features(blocks)), strict=True) if y)
 
 
 def extract_main_text(pages: DataFrame, model: CRF | None = None, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """One row per row of ``pages``: the ``keep`` columns, text and n_chars (code points).
 
-    Null and empty html, and html without main text, give "" and 0. Repeated rows
-    stay repeated; an empty table gives an empty result; other columns are ignored.
+    Null and empty html, and html without main text, give "" and 0. A page of any
+    size is read whole, in time and memory in proportion to it. Rows with null or
+    repeated ids are kept as they are; repeated rows stay repeated; an empty table
+    gives an empty result; other columns are ignored, whatever their names.
     """
     model = model or default_model()
 

@@ -580,6 +580,89 @@ def test_skipped_elements_take_no_more_than_their_own(page, want):
     assert [b.text for b in html_extract.leaf_blocks(page)] == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p title=don't>one <b title='a>b'>two</b></p><p x = \"1 > 0\" y>three</p>", ["one two", "three"]),
+        ("<p a='x>one</p><p>two</p>", ["one", "two"]),
+        ("<p a=\">\"<p a=\">\"one</p>", []),  # one tag, by the standard
+        ("<p a=\">\"<p a=\">\"one", ['"', '"one']),
+        ("a < b <3 <p>c<!-- x > y --> d<!-->e--> f<!doctype x>g<? x>h</p><", ["a < b <3", "c d fgh", "<"]),
+        ("<p>one<p a='", ["one<p a='"]),
+    ],
+)
+def test_tags_end_where_they_do(page, want):
+    assert [b.text for b in html_extract.leaf_blocks(page)] == want
+
+
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda n: "<p a='" * n, lambda n: "<p a='" * n + ">", lambda n: '<p a=">"' * n, lambda n: "<!" * n, lambda n: "<!--" * n, lambda n: "<" * n, lambda n: "<div>x" * n,
+        lambda n: "<div>" * n + "</x>" * n, lambda n: "<li><ul>" + "<div>" * n + "<li></li>x" * n, lambda n: "<title><p>" * n, lambda n: "<svg>" * n, lambda n: "".join(f"<a{i}x>x" for i in range(n)),
+    ],
+)
+def test_time_and_memory_follow_the_page(make):
+    import tracemalloc
+    from time import process_time
+
+    model = html_extract.CRF({"in=div": 0, "in=p": 1, "name=x": 2}, np.zeros((3, 2)), np.zeros((2, 2)))
+    took, held = [], []
+    for n in (2_000, 16_000):
+        tracemalloc.start()
+        began = process_time()
+        html_extract.main_text(make(n), model)
+        took.append(process_time() - began)
+        held.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert took[1] < 30 * max(took[0], 0.02) and held[1] < 20 * max(held[0], 100_000)  # eight times the page; 64 times if quadratic
+
+
+@have_data
+def test_whole_query_equals_what_the_article_holds(spark):
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        """Block texts inside the article element, by another parser."""
+
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks, self.text = 0, [], ""
+
+        def cut(self):
+            if self.inside and self.text.split():
+                self.blocks.append(" ".join(self.text.split()))
+            self.text = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("p", "h1", "h2", "h3", "h4", "li", "ul", "ol", "blockquote", "article", "div", "pre", "section"):
+                self.cut()
+            self.inside += tag == "article"
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "h1", "h2", "h3", "h4", "li", "ul", "ol", "blockquote", "article", "div", "pre", "section"):
+                self.cut()
+            self.inside -= tag == "article"
+
+        def handle_data(self, data):
+            self.text += data
+
+    rows = spark.read.parquet(f"{DIR}/pages.parquet").collect()
+    got = {r["page_id"]: r["text"] for r in queries.queries()["op8_html"](spark, DIR).collect()}
+    for r in rows:
+        a = Article()
+        a.feed(r["html"])
+        assert got[r["page_id"]] == "\n".join(a.blocks)
+
+
+def test_articles_in_tables_are_found():
+    model = html_extract.default_model()
+    menu = "".join(f'<td><a href="/{i}">Section {i}</a></td>' for i in range(3))
+    page = f"<body><table><tr>{menu}</tr></table><table><tr><td><ul><li><a href=x>Home</a></li></ul></td><td><h1>Some title</h1><p>A long paragraph of the article with many words in it.</p><p>Another one follows, and it ends.</p></td></tr></table></body>"
+    got = html_extract.main_text(page, model)
+    assert "A long paragraph of the article with many words in it.\nAnother one follows, and it ends." in got and "Home" not in got
+
+
 def test_viterbi_equals_all_label_sequences():
     rng = np.random.default_rng(1)
     crf = html_extract.CRF({f"f{i}": i for i in range(6)}, rng.normal(size=(6, 2)), rng.normal(size=(2, 2)))
