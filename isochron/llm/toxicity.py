@@ -37,11 +37,17 @@ TRAIN_CHARS = 60_000_000
 #: A term must be in this share of the distinct toxic texts, and this much likelier there.
 LEAST_SHARE = 0.01
 LEAST_RATIO = 8.0
+#: Terms have so many letters at least, or two where a letter is a syllable or word; under four they match as they are only.
+LEAST_LETTERS = 3
+_SYLLABLES = "\u2e80"  # scripts from here on
 SCORE_LIMIT = 0.7
 
 _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 _SPLIT = set(" \t\n\r\x0b\x0c,;:()[]{}\"/\\|&=<>?“”«»„…、。，．！？：；（）「」『』【】\xa0  \x85")
+_CUT = re.compile("[\\s" + re.escape("".join(sorted(_SPLIT))) + "]")
 _BLANK, _GONE = 0, 0xFFFF
+#: Texts go through the table so many characters at a time.
+PIECE_CHARS = 1 << 20
 _QUOTES = re.compile("[\"“”«»„]")
 _REPORT = re.compile(r"\b(?:said|says|say|wrote|writes|called|calls|quote[ds]?|quoting|term|word|slur|so-called|reported|dit|sagte|dijo)\b", re.I)
 _SECOND = re.compile(r"\b(?:you|your|you're|u|ur|du|dein|tu|toi|vous|usted)\b", re.I)
@@ -142,7 +148,7 @@ class LexiconAutomaton:
         self.accept = np.full(len(number), -1, dtype=np.int32)
         self.distance = np.full(len(number), 9, dtype=np.int8)
         for s, i in number.items():
-            for node, e in s:
+            for node, e in sorted(s, key=lambda x: last.get(x[0], 0)):  # of equally near terms the first
                 if node in last and e <= edit_limit(self.terms[last[node]]) and e < self.distance[i]:
                     self.accept[i], self.distance[i] = last[node], e
         self.kind = {letter: of for c, letter in self.letter.items() if (of := _kinds()[2].get(c))}  # class -> code points
@@ -218,7 +224,7 @@ class ToxicityModel:
     def features(self, texts: list[str]) -> np.ndarray:
         """A row for each text: 1, log of the summed weights, weight per hundred words."""
         sure, near = np.zeros(len(texts)), np.zeros(len(texts))
-        for t, a, b, term, distance in self.automaton.find(texts):
+        for t, a, b, term, distance in self.matches(texts):
             weight = self.weights[self.automaton.terms[term]] * context_weight(texts[t], a, b)
             if distance == 0:
                 sure[t] += weight
@@ -229,6 +235,32 @@ class ToxicityModel:
         words = np.array([t.count(" ") + t.count("\n") + 10 for t in texts])
         return np.stack([np.ones(len(texts)), np.log1p(total), np.minimum(100 * total / words, 8.0)], axis=1)
 
+    def matches(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
+        """``LexiconAutomaton.find`` over texts of any length: long ones go in pieces that end between words."""
+        held: list[str] = []
+        where: list[tuple[int, int]] = []
+        total = 0
+
+        def found() -> Iterator[tuple[int, int, int, int, int]]:
+            for k, a, b, *rest in self.automaton.find(held):
+                t, at = where[k]
+                yield (t, a + at, b + at, *rest)
+
+        for t, text in enumerate(texts):
+            at = 0
+            while at < len(text):
+                end = len(text)
+                if end - at > PIECE_CHARS and (cut := _CUT.search(text, at + PIECE_CHARS)):
+                    end = cut.end()
+                held.append(text[at:end])
+                where.append((t, at))
+                total += end - at
+                at = end
+                if total > PIECE_CHARS:
+                    yield from found()
+                    held, where, total = [], [], 0
+        yield from found()
+
     def scores(self, texts: list[str]) -> list[float]:
         z = self.features(texts) @ np.array(self.coefficients)
         return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
@@ -249,7 +281,7 @@ def learn_terms(texts: list[str], toxic: list[bool]) -> dict[str, float]:
                 continue
             seen.append(fp)
         total[y] += 1
-        counts[y].update({w for w in _WORD.findall(text.lower()) if len(w) >= 4})
+        counts[y].update({w for w in _WORD.findall(text.lower()) if len(w) >= LEAST_LETTERS or (len(w) == 2 and w >= _SYLLABLES)})
     least = max(3, LEAST_SHARE * total[1])
     ratio = lambda w: (counts[1][w] / (total[1] + 1)) / ((counts[0][w] + 0.5) / (total[0] + 1))
     return {w: min(3.0, log(ratio(w))) for w, n in sorted(counts[1].items()) if n >= least and ratio(w) >= LEAST_RATIO}
@@ -294,12 +326,20 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """Fit on at most TRAIN_ROWS labelled rows that are not held out, chosen by a hash of their id."""
+    """Fit on at most TRAIN_ROWS labelled rows that are not held out, chosen by a hash of their id.
+
+    Of several texts with one id the one with the least hash is taken, of several
+    labels the highest: the model is the same however the rows are dealt out. Rows
+    and labels with a null id are not learned from; texts that would go beyond
+    TRAIN_CHARS together are passed over. Without labels there is no term.
+    """
     own = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)  # a top-k, bounded in each task
-    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(own), "doc_id").dropDuplicates(["doc_id"])
+    text = F.coalesce("text", F.lit(""))
+    joined = docs.select("doc_id", text.alias("text")).join(F.broadcast(own), "doc_id")
+    one = joined.groupBy("doc_id").agg(F.max("y").alias("y"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     rows, chars = [], 0
-    for r in joined.select("text", "y").orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
+    for r in one.select("text", "y").orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
         if chars + len(r["text"]) > TRAIN_CHARS:
             continue
         rows.append((r["text"], int(r["y"])))
@@ -322,7 +362,12 @@ def _batch_scores(col: pa.Array, model: ToxicityModel) -> list[float]:
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every row. Null and empty texts score as texts without a match; other columns are ignored."""
+    """(id, score) of every row, null and repeated ids included.
+
+    Null and empty texts score as texts without a match. Long texts are searched
+    whole, in pieces that end between words. An empty table gives an empty result;
+    other columns are ignored, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
