@@ -3,8 +3,7 @@
 From the labelled credentials of each format a prefix tree over character
 classes is built; states whose continuation counts are statistically compatible
 (Hoeffding bound, red-blue order) are merged into a probabilistic automaton.
-Every long token with letters and digits is scored by the log-likelihood ratio
-of its best automaton, with each character uniform within its class, against the
+Every long token is scored by the log-likelihood ratio of its best automaton, with each character uniform within its class, against the
 letter pairs of the whole corpus. A token is a run of the characters that occur
 in credentials; below the threshold its pieces between "=", then between "/",
 are scored in its place. Tokens above the threshold that do not lie inside a
@@ -37,7 +36,6 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "format")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")  # whole runs, however long
 _ASSIGNED, _STEP = re.compile(r"[^=]{16,}"), re.compile(r"[^=/]{16,}")
-_DIGIT = re.compile(r"[0-9]")
 
 #: Bits a character by which a token must be likelier under a format than as ordinary text.
 THRESHOLD_BITS = 1.5
@@ -183,9 +181,7 @@ def infer_automata(labelled: list[tuple[str, str]]) -> dict[str, Automaton]:
 
 def _ordinary(text: str) -> str:
     """``text`` without the tokens that are candidates themselves."""
-    if not _DIGIT.search(text):
-        return text
-    return _TOKEN.sub(lambda m: " " if _DIGIT.search(m[0]) else m[0], text)
+    return _TOKEN.sub(" ", text)
 
 
 def pair_bits(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -195,9 +191,11 @@ def pair_bits(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         total = np.zeros(128 * 128, dtype=np.int64)
         for b in batches:
             for t in b.column(0):
-                x = np.frombuffer(_ordinary(t.as_py() or "").encode().lower(), dtype=np.uint8).astype(np.int32)
-                x[x > 127] = 0
-                total += np.bincount(x[:-1] * 128 + x[1:], minlength=128 * 128) if len(x) > 1 else 0
+                raw = np.frombuffer(_ordinary(t.as_py() or "").encode().lower(), dtype=np.uint8)
+                for lo in range(0, len(raw) - 1, 1 << 20):  # a long text in parts that share a byte
+                    x = raw[lo : lo + (1 << 20) + 1].astype(np.int32)
+                    x[x > 127] = 0
+                    total += np.bincount(x[:-1] * 128 + x[1:], minlength=128 * 128)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["pair", "n"])
 
@@ -225,17 +223,12 @@ class FormatScorer:
         return (best + uniform - float(self.bits[x[:-1], x[1:]].sum())) / len(token)
 
     def spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        if not _DIGIT.search(text):
-            return []
         starts, ends = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
 
         def found(a: int, b: int) -> bool:
-            token = text[a:b]
-            if not _DIGIT.search(token) or token.isdecimal():
-                return False
             before = bisect_right(starts, a)
             inside = before > 0 and ends[before - 1] >= b
-            return not inside and self.score(token) >= self.threshold
+            return not inside and self.score(text[a:b]) >= self.threshold
 
         def tokens(a: int, b: int) -> Iterator[tuple[int, int]]:
             if found(a, b):
@@ -247,7 +240,7 @@ class FormatScorer:
                     continue
                 yield from (x.span() for x in _STEP.finditer(text, *m.span()) if x.span() != m.span() and found(*x.span()))
 
-        return [(a, 3, b) for m in _TOKEN.finditer(text) if _DIGIT.search(m[0]) for a, b in tokens(*m.span())]
+        return [(a, 3, b) for m in _TOKEN.finditer(text) for a, b in tokens(*m.span())]
 
 
 def _join(spans: list[tuple[int, int, int]]) -> str:
@@ -261,8 +254,10 @@ def scan_secrets(docs: DataFrame, labelled: list[tuple[str, str]] | None = None,
     """One row per input row: id, counts by pattern kind, ``base`` and ``spans`` as ``kind:start:end`` lists.
 
     Positions are code points, end exclusive. ``labelled`` are (format, credential)
-    pairs; None takes made-up ones. Null texts are empty and have no spans; repeated
-    rows stay repeated; an empty table gives an empty result; other columns are ignored.
+    pairs; None takes made-up ones. Null texts are empty and have no spans. A text or
+    token of any length is scored whole, in time in proportion to it and memory of a
+    few times its size. Rows with null or repeated ids stay as they are; an empty
+    table gives an empty result; other columns are ignored, whatever their names.
     """
     scorer = FormatScorer(infer_automata(sample_credentials() if labelled is None else labelled), pair_bits(docs, text_col), threshold)
 

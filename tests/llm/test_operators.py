@@ -197,6 +197,70 @@ def test_scores_separate_held_out_texts_and_spare_quotations():
     assert bad >= 0.7 > quoted
 
 
+def plain_matches(text, terms):
+    """(start, end, term, distance) of each word near a term, by dynamic programming over every term."""
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            prev, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+        return row[-1]
+
+    out, word, at = [], [], []
+    for i, c in enumerate(text + " "):
+        if c in toxicity._SPLIT or c.isspace():
+            if word:
+                best = min(((distance("".join(word), t), k) for k, t in enumerate(sorted(terms)) if distance("".join(word), t) <= toxicity.edit_limit(t)), default=None)
+                if best:
+                    out.append((at[0], at[-1] + 1, sorted(terms)[best[1]], best[0]))
+            word, at = [], []
+        elif c.isalnum() or (c in "@$!" and (text + " ")[i + 1].isalpha()):
+            word.append(toxicity._LEET.get(c, c.lower()))
+            at.append(i)
+    return out
+
+
+def test_whole_toxicity_query_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = training()
+    bits = ["idiot", "id1ot", "idoit", "mor0n", "m@ron!", "you", "said", '"', "worthles", "fine", "day", "\n", "(scum)", "sc-um", "wörthless"]
+    texts = [t for t, _ in rows] + [" ".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(150)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.op2_toxicity(df, labels).collect()}
+    m = toxicity.train(df, labels)
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
+    own = sorted((i for i in range(len(rows)) if not got[i]["held_out"]))
+    assert m.weights == toxicity.learn_terms([rows[i][0] for i in own], [bool(rows[i][1]) for i in own])
+    for i, t in enumerate(texts):
+        t = t or ""
+        sure = near = 0.0
+        for a, b, term, d in plain_matches(t, m.weights):
+            w = m.weights[term] * toxicity.context_weight(t, a, b)
+            if d == 0:
+                sure += w
+            elif t[a:b].lower() not in m.ordinary:
+                near += toxicity.near_weight(term, d) * w
+        total = sure + max(near - 3.0 * m.rate * len(t), 0.0)
+        x = (1.0, np.log1p(total), min(100 * total / (t.count(" ") + t.count("\n") + 10), 8.0))
+        want = 1 / (1 + np.exp(-np.clip(np.dot(x, m.coefficients), -30, 30)))
+        assert np.isclose(got[i]["score"], want) and got[i]["predicted"] == int(got[i]["score"] >= 0.7), t
+    long = " ".join(t or "" for t in texts)
+    whole = list(m.matches([long, "x"]))
+    monkeypatch.setattr(toxicity, "PIECE_CHARS", 40)
+    assert list(m.matches([long, "x"])) == whole and whole
+
+
+def test_one_of_several_texts_of_an_id_is_learned_whatever_the_order(spark):
+    rows = training()
+    docs = [(i // 2, t) for i, (t, _) in enumerate(rows)]
+    labels = spark.createDataFrame([(i // 2, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    a, b = (toxicity.train(spark.createDataFrame(x, "doc_id long, text string").repartition(n), labels) for x, n in ((docs, 3), (docs[::-1], 7)))
+    assert a.weights == b.weights and a.coefficients == b.coefficients
+
+
 def test_toxicity_odd_rows(spark, weird, nothing):
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, 1), (None, 1, 1), (4, None, None), (5, 1, 1)], "doc_id long, quality int, toxic int")
     got = toxicity.op2_toxicity(weird, labels).collect()
@@ -515,6 +579,54 @@ def test_automata_find_held_out_credentials_and_leave_words(spark, weird, nothin
     assert secret_scan.op7_secrets(weird).count() == 11 and secret_scan.op7_secrets(nothing).count() == 0
 
 
+def plain_added(text, scorer):
+    """Spans by the definition: each run, then its parts between "=", then between "/", outside patterns, by its score."""
+    base = secret_scan.base_spans(text)
+
+    def fits(a, b):
+        return b - a >= 16 and not any(x <= a and b <= y for x, _, y in base) and scorer.score(text[a:b]) >= scorer.threshold
+
+    def parts(a, b, marks):
+        cut = [a - 1, *(i for i in range(a, b) if text[i] in marks), b]
+        return [(x + 1, y) for x, y in zip(cut, cut[1:], strict=False)]
+
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        if m.end() - m.start() < 16:
+            continue
+        if fits(*m.span()):
+            out.append(m.span())
+            continue
+        for p in parts(*m.span(), "="):
+            if p != m.span() and fits(*p):
+                out.append(p)
+            else:
+                out += [q for q in parts(*p, "/") if q != p and fits(*q)]
+    return sorted([(a, 3, b) for a, b in out] + base)
+
+
+def test_whole_secrets_query_equals_brute_force(spark):
+    rng = random.Random(23)
+    made = [c for _, c in secret_scan.sample_credentials(6, seed=99)]
+    letters = ["".join(rng.choice("QZXJKqzxjkWVwv") for _ in range(24)) for _ in range(6)]
+    bits = made + letters + ["=", "/", "token: ", "key=", " ", "\n", "é", "deadbeefdeadbeef", "plain-words-with-dashes", "0" * 20, "a" * 300]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 8))) + " " + words(rng, 40) for _ in range(150)] + ["".join(made) * 20, None]
+    df = frame(spark, texts)
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.op7_secrets(df).collect()}
+    scorer = secret_scan.FormatScorer(secret_scan.infer_automata(secret_scan.sample_credentials()), secret_scan.pair_bits(df))
+    for i, t in enumerate(texts):
+        assert got[i] == secret_scan._join(plain_added(t or "", scorer)), t
+    assert any("format:" in s for s in got.values())
+
+
+def test_tokens_without_digits_are_scored(spark):
+    rng = random.Random(24)
+    key = "ghp_" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(36))
+    texts = [f"use {key} here"] + [f"{words(rng, 30)} {'-'.join(words(rng, 3).split())}-abadcafe-bad" for _ in range(60)]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.op7_secrets(frame(spark, texts)).collect()}
+    assert got[0] == "format:4:44" and not any("format" in got[i] for i in range(1, 61))
+
+
 def test_credentials_inside_longer_runs_are_found(spark):
     rng = random.Random(6)
     made = dict(secret_scan.sample_credentials(1, seed=321))
