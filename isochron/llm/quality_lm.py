@@ -26,7 +26,6 @@ from math import inf, log
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
@@ -153,7 +152,8 @@ def count_grams(docs: DataFrame, order: int = ORDER, text_col: str = "text", fol
         held: list[pa.Table] = []
 
         def merged() -> pa.Table:
-            return pa.concat_tables(held).group_by("g").aggregate([("n0", "sum"), ("n1", "sum")]).rename_columns(["g", "n0", "n1"])
+            summed = pa.concat_tables(held).group_by("g").aggregate([("n0", "sum"), ("n1", "sum")]).rename_columns(["g", "n0", "n1"])
+            return summed.sort_by("g")  # neighbours alike, which a shuffle compresses well
 
         for b in batches:
             fold = np.nan_to_num(b.column(1).cast(pa.float64()).to_numpy(zero_copy_only=False), nan=2).astype(np.int64)
@@ -270,10 +270,11 @@ def perplexities(docs: DataFrame, model: DataFrame, keep: tuple[str, ...], order
 
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     part = docs.select(*keep, text_col, F.col(fold_col).cast("int").alias(fold_col)).mapInArrow(run, f"{types}, _f bigint, {_SCORED}")
-    part = cut_lineage(part.withColumn("_row", F.monotonically_increasing_id()))
-    rows = part.select("_row", "_f", F.explode("cold").alias("c")).select("_row", "_f", "c.g", "c.n")
+    # the row's number and, in its last two bits, the model that scores it held out
+    part = cut_lineage(part.withColumn("_row", F.monotonically_increasing_id() * 4 + F.col("_f") + 1).drop("_f"))
+    rows = part.select("_row", F.explode("cold").alias("c")).select("_row", "c.g", "c.n")
     met = rows.join(logs.drop("n_a"), "g")
-    theirs = F.when(F.col("_f") == 0, F.col("f1")).when(F.col("_f") == 1, F.col("f0")).otherwise(F.col("a"))
+    theirs = F.when(F.col("_row") % 4 == 1, F.col("f1")).when(F.col("_row") % 4 == 2, F.col("f0")).otherwise(F.col("a"))
     sums = met.groupBy("_row").agg(F.sum(F.col("n") * F.col("a")).alias("c_own"), F.sum(F.col("n") * theirs).alias("c_held"))
     out = part.drop("cold").join(sums, "_row", "left")
     mean = lambda s, c: F.when(F.col("n_scored") > 0, F.exp(-(F.col(s) + F.coalesce(c, F.lit(0.0))) / F.col("n_scored")))
