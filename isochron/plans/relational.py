@@ -87,12 +87,20 @@ def mask_and_or(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@register("mask_explains", "SELECT event_type, bool_and(value <= 250 OR true) AS whole_explains_part FROM events GROUP BY event_type")
+@register(
+    "mask_explains",
+    f"""WITH c AS (SELECT DISTINCT user_id % 50 AS u, day * 24 + hour AS cell, day FROM ({_CELLS})), k AS (SELECT DISTINCT u FROM c),
+m AS (SELECT a.u, count(*) FILTER (x.cell IS NULL) AS missing FROM c a LEFT JOIN c x ON x.u = a.u - 1 AND x.cell = a.cell GROUP BY a.u),
+w AS (SELECT a.u, bool_and(a.day < 5) AS weekly FROM c a GROUP BY a.u)
+SELECT k.u, k.u - 1 IN (SELECT u FROM k) AND missing = 0 AS by_neighbour, weekly AS by_weekdays FROM k JOIN m USING (u) JOIN w USING (u)""",
+)
 def mask_explains(spark: SparkSession, d: str) -> DataFrame:
-    """The mask of all events explains that of some of them."""
-    c = _cells(spark, d)
-    m = c.groupBy("event_type").agg(masks.collect_mask(F.col("day"), F.col("hour")).alias("w"), masks.collect_mask(F.when(F.col("value") > 250, F.col("day")), F.col("hour")).alias("p"))
-    return m.select("event_type", masks.explains(F.col("w"), F.col("p")).alias("whole_explains_part"))
+    """Is a group's mask within its neighbour's, and within that of all hours of the weekdays; both answers occur."""
+    c = _cells(spark, d).groupBy((F.col("user_id") % 50).alias("u")).agg(masks.collect_mask(F.col("day"), F.col("hour")).alias("m"))
+    n = c.select((F.col("u") + 1).alias("u"), F.col("m").alias("n"))
+    days = F.array(*[F.lit(0xFFFFFF if i < 5 else 0) for i in range(7)])
+    j = c.join(n, "u", "left")
+    return j.select("u", F.coalesce(masks.explains(F.col("n"), F.col("m")), F.lit(False)).alias("by_neighbour"), masks.explains(days, F.col("m")).alias("by_weekdays"))
 
 
 @register("route_mask_union", f"SELECT 'all' AS grp, list_aggregate([{', '.join(f'''printf('%06x', coalesce(bit_or(CASE WHEN day = {i} THEN 1 << hour END), 0))''' for i in range(7))}], 'string_agg', '') AS acts FROM ({_CELLS} WHERE value > 470) GROUP BY 1")
@@ -359,20 +367,6 @@ def nearest_n(spark: SparkSession, d: str) -> DataFrame:
     return spatial.nearest_n(j, ["a"], ["b"], 3).select("a", "b")
 
 
-@register(
-    "components",
-    """WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey AS a, n_regionkey + 1000 AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey % 4 <> 0),
-u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r(node, c) AS (SELECT a, a FROM u UNION SELECT u.b, r.c FROM r JOIN u ON r.node = u.a)
-SELECT cast(node AS BIGINT) AS node, cast(min(c) AS BIGINT) AS component FROM r GROUP BY node""",
-)
-def components(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "nation").where("n_nationkey % 4 <> 0")
-    s = table(spark, d, "supplier").select("s_nationkey").distinct()
-    e = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_nationkey").cast("bigint").alias("u"), (F.col("n_regionkey") + 1000).cast("bigint").alias("v"))
-    return connected_components(e)
-
-
 _OWN = "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem"
 
 
@@ -395,20 +389,6 @@ def duplicate_pairs(spark: SparkSession, d: str) -> DataFrame:
     return feeds.duplicates(o, 0.3).select("a", "b", "shared", "held_out")
 
 
-@register(
-    "idf_tokens",
-    """WITH a AS (SELECT p_partkey AS id, list_distinct(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' ')) AS t FROM part),
-b AS (SELECT item_id AS id, list_distinct(string_split(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')), ' ')) AS t FROM benchmark WHERE item_id < 0),
-da AS (SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM a) GROUP BY token)
-SELECT token, round(ln(1 + (SELECT count(*) FROM a) / n), 9) AS idf FROM da""",
-)
-def idf_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Token weights over part names; a second, empty corpus has no say."""
-    a = table(spark, d, "part").select(names.name_tokens(F.col("p_name")).alias("tokens"))
-    b = table(spark, d, "benchmark").where("item_id < 0").select(names.name_tokens(F.col("text")).alias("tokens"))
-    return similarity.idf_weights(a, b).select("token", F.round("idf", 9).alias("idf"))
-
-
 @register(
     "name_similarity",
     """WITH a AS (SELECT p_partkey AS id, p_brand, list_distinct(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' ')) AS t FROM part),
@@ -427,13 +407,23 @@ def name_similarity(spark: SparkSession, d: str) -> DataFrame:
     return w.where("sim > 0.4").select("a", "b", F.round("sim", 9).alias("sim"))
 
 
-@register("greedy_match")
+@register(
+    "greedy_match",
+    """WITH RECURSIVE p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+j AS (SELECT a.vec_id AS a, b.vec_id AS b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS dist FROM p a JOIN p b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 AND abs(a.x - b.x) <= 0.05 AND abs(a.y - b.y) <= 0.05),
+c AS (SELECT a, b, row_number() OVER (ORDER BY dist, a, b) AS i FROM j WHERE dist <= 0.05),
+r(i, used, a, b) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT UNION ALL
+  SELECT c.i, CASE WHEN list_contains(used, c.a) OR list_contains(used, c.b) THEN used ELSE list_concat(used, [c.a, c.b]) END,
+    CASE WHEN list_contains(used, c.a) OR list_contains(used, c.b) THEN NULL ELSE c.a END, CASE WHEN list_contains(used, c.a) OR list_contains(used, c.b) THEN NULL ELSE c.b END
+  FROM r JOIN c ON c.i = r.i + 1)
+SELECT a, b FROM r WHERE a IS NOT NULL""",
+)
 def greedy_match(spark: SparkSession, d: str) -> DataFrame:
-    """One-to-one pairs of even and odd vectors within reach, best score first; tested against a plain loop."""
+    """One-to-one pairs of even and odd vectors within reach, best score first; tested against a plain loop, too."""
     p = _points(spark, d)
     a, b = p.where("vec_id % 2 = 0"), p.where("vec_id % 2 = 1")
     j = spatial.radius_join(a, b, 0.05).select(F.col("vec_id").alias("a"), F.col("vec_id_r").alias("b"), (-F.col("dist")).alias("score"))
-    return similarity.greedy_assignment(j)
+    return similarity.greedy_assignment(j).select("a", "b")
 
 
 @register(
@@ -521,10 +511,19 @@ def slug(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", names.slug(F.concat_ws(" ", "p_name", "p_brand")).alias("slug"))
 
 
-@register("shouting", "SELECT doc_id, length(regexp_replace(substr(text, 1, 40), '[^\\p{L}]', '', 'g')) > 1 AND length(regexp_replace(substr(text, 1, 40), '[^\\p{Lu}]', '', 'g')) = length(regexp_replace(substr(text, 1, 40), '[^\\p{L}]', '', 'g')) AS shouting FROM documents")
+@register(
+    "shouting",
+    """WITH t AS (SELECT 'd' || doc_id AS id, text AS t FROM documents UNION ALL SELECT 'l' || doc_id || ':' || i, ls[i] FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))
+SELECT id, length(regexp_replace(t, '[^\\p{L}]', '', 'g')) > 1 AND length(regexp_replace(t, '[^\\p{Lu}]', '', 'g')) = length(regexp_replace(t, '[^\\p{L}]', '', 'g')) AS shouting FROM t""",
+)
 def shouting(spark: SparkSession, d: str) -> DataFrame:
-    """The test on a heading-sized beginning of each text, which is what it is for."""
-    return table(spark, d, "documents").select("doc_id", names.is_shouting(F.substring("text", 1, 40)).alias("shouting"))
+    """The test on every text and on each of its lines."""
+    t = table(spark, d, "documents").select("doc_id", "text")
+    rows = t.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
+    every = t.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text").union(
+        rows.select(F.concat(F.lit("l"), F.col("doc_id").cast("string"), F.lit(":"), (F.col("i") + 1).cast("string")).alias("id"), "text")
+    )
+    return every.select("id", names.is_shouting(F.col("text")).alias("shouting"))
 
 
 @register(
@@ -546,14 +545,6 @@ def route_class(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", modes.route_class(F.col("p_partkey") % 2000).alias("class"))
 
 
-@register("trunk_key", "SELECT p_partkey, CASE WHEN p_partkey % 10 = 2 AND p_brand <> '' THEN 'agency:' || p_brand WHEN p_partkey % 10 = 3 THEN 'route:' || p_partkey WHEN p_size > 25 THEN printf('%06x', p_size) ELSE 'agency:' || p_brand END AS trunk FROM part WHERE p_partkey % 10 < 4")
-def trunk_key(spark: SparkSession, d: str) -> DataFrame:
-    style = modes.Style({"regional": modes.ClassStyle("agency"), "bus": modes.ClassStyle("route")})
-    color = F.when(F.col("p_size") > 25, F.lower(F.lpad(F.hex("p_size"), 6, "0"))).otherwise("")
-    p = table(spark, d, "part").where("p_partkey % 10 < 4")
-    return p.select("p_partkey", modes.trunk_key(style, F.col("p_partkey").cast("string"), F.lit(""), F.lit(""), F.col("p_brand"), color, F.col("p_partkey") % 10).alias("trunk"))
-
-
 @register("try_parse", "SELECT c_custkey, try_cast(regexp_extract(c_name, '[0-9]+$') AS INTEGER) AS n, try_cast(c_name AS INTEGER) IS NULL AS bad FROM customer")
 def try_parse(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
@@ -682,39 +673,36 @@ def band_filter(spark: SparkSession, d: str) -> DataFrame:
     return dynamic.filter_band(p, 15).select("p_partkey")
 
 
-# The same operators over whole tables, without the subsets that the queries of the same names above and their SQL take.
-
-
 @register(
-    "components_whole",
+    "components",
     """WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey AS a, n_regionkey + 1000 AS b FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(node, c) AS (SELECT a, a FROM u UNION SELECT u.b, r.c FROM r JOIN u ON r.node = u.a)
 SELECT cast(node AS BIGINT) AS node, cast(min(c) AS BIGINT) AS component FROM r GROUP BY node""",
 )
-def components_whole(spark: SparkSession, d: str) -> DataFrame:
+def components(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").select("s_nationkey").distinct()
     e = s.join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     return connected_components(e.select(F.col("s_nationkey").cast("bigint").alias("u"), (F.col("n_regionkey") + 1000).cast("bigint").alias("v")))
 
 
 @register(
-    "idf_tokens_whole",
+    "idf_tokens",
     rf"""WITH a AS (SELECT list_distinct(string_split(trim(regexp_replace(translate(lower(p_name), '{names._FROM}', '{names._TO}'), '[^\p{{L}}\p{{Nd}}]+', ' ', 'g')), ' ')) AS t FROM part),
 b AS (SELECT list_distinct(string_split(trim(regexp_replace(translate(lower(text), '{names._FROM}', '{names._TO}'), '[^\p{{L}}\p{{Nd}}]+', ' ', 'g')), ' ')) AS t FROM benchmark),
 da AS (SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM a) WHERE token <> '' GROUP BY token),
 db AS (SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM b) WHERE token <> '' GROUP BY token)
 SELECT token, round(least(ln(1 + (SELECT count(*) FROM a) / coalesce(da.n, 0.5)), ln(1 + (SELECT count(*) FROM b) / coalesce(db.n, 0.5))), 9) AS idf FROM da FULL JOIN db USING (token)""",
 )
-def idf_tokens_whole(spark: SparkSession, d: str) -> DataFrame:
+def idf_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Token weights over part names and benchmark texts."""
     a = table(spark, d, "part").select(names.name_tokens(F.col("p_name")).alias("tokens"))
     b = table(spark, d, "benchmark").select(names.name_tokens(F.col("text")).alias("tokens"))
     return similarity.idf_weights(a, b).select("token", F.round("idf", 9).alias("idf"))
 
 
-@register("trunk_key_whole", "SELECT p_partkey, CASE WHEN p_partkey % 10 = 2 AND p_brand <> '' THEN 'agency:' || p_brand WHEN p_partkey % 10 = 3 THEN 'route:' || p_partkey WHEN p_size > 25 THEN printf('%06x', p_size) ELSE 'agency:' || p_brand END AS trunk FROM part")
-def trunk_key_whole(spark: SparkSession, d: str) -> DataFrame:
+@register("trunk_key", "SELECT p_partkey, CASE WHEN p_partkey % 10 = 2 AND p_brand <> '' THEN 'agency:' || p_brand WHEN p_partkey % 10 = 3 THEN 'route:' || p_partkey WHEN p_size > 25 THEN printf('%06x', p_size) ELSE 'agency:' || p_brand END AS trunk FROM part")
+def trunk_key(spark: SparkSession, d: str) -> DataFrame:
     style = modes.Style({"regional": modes.ClassStyle("agency"), "bus": modes.ClassStyle("route")})
     color = F.when(F.col("p_size") > 25, F.lower(F.lpad(F.hex("p_size"), 6, "0"))).otherwise("")
     key = modes.trunk_key(style, F.col("p_partkey").cast("string"), F.lit(""), F.lit(""), F.col("p_brand"), color, F.col("p_partkey") % 10)

@@ -12,7 +12,7 @@ from isochron.plans.catalog import register, table
 from isochron.sources import etl
 
 _PTS = "SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings"
-_SEGS = "SELECT vec_id AS seg, embedding[3]::DOUBLE AS ax, embedding[4]::DOUBLE AS ay, embedding[5]::DOUBLE AS bx, embedding[6]::DOUBLE AS b_y FROM embeddings WHERE vec_id % 3 = 0"
+_SEGS = "SELECT vec_id AS seg, embedding[3]::DOUBLE AS ax, embedding[4]::DOUBLE AS ay, embedding[5]::DOUBLE AS bx, embedding[6]::DOUBLE AS b_y FROM embeddings"
 _PAIR = f"""
 WITH p AS ({_PTS}), s AS ({_SEGS}),
 j AS (SELECT id, seg, x, y, ax, ay, bx - ax AS dx, b_y - ay AS dy FROM p, s),
@@ -25,44 +25,6 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
 
 
-def _segments(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").where("vec_id % 3 = 0")
-    at = lambda i, n: F.col("embedding")[i].cast("double").alias(n)
-    return e.select(F.col("vec_id").alias("seg"), at(2, "ax"), at(3, "ay"), at(4, "bx"), at(5, "by"))
-
-
-@register("near_lines", f"{_PAIR} SELECT id, seg, round(dist, 9) AS dist FROM d WHERE dist <= 0.02")
-def near_lines(spark: SparkSession, d: str) -> DataFrame:
-    j = spatial.near_segments(_points(spark, d), _segments(spark, d), 0.02)
-    return j.select("id", F.col("seg_r").alias("seg"), F.round("dist", 9).alias("dist"))
-
-
-@register("nearest_line", f"{_PAIR} SELECT id, arg_min(seg, dist) AS seg, round(min(dist), 9) AS dist FROM d WHERE dist <= 0.05 GROUP BY id")
-def nearest_line(spark: SparkSession, d: str) -> DataFrame:
-    j = spatial.near_segments(_points(spark, d), _segments(spark, d), 0.05).select("id", F.col("seg_r").alias("seg"), "dist")
-    return spatial.nearest(j, ["id"], ["seg"]).select("id", "seg", F.round("dist", 9).alias("dist"))
-
-
-@register("ink_retention", f"{_PAIR} SELECT label, count(*) AS samples, sum(CASE WHEN near THEN 1 ELSE 0 END)::BIGINT AS hits FROM (SELECT e.label, coalesce(min(d.dist) <= 0.02, false) AS near FROM embeddings e JOIN d ON d.id = e.vec_id GROUP BY e.vec_id, e.label) GROUP BY label")
-def ink_retention(spark: SparkSession, d: str) -> DataFrame:
-    pts = _points(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
-    return spatial.coverage_share(pts, _segments(spark, d), 0.02, ["label"], ["id"]).select("label", "samples", "hits")
-
-
-@register(
-    "segment_crossings",
-    f"""WITH s AS ({_SEGS}), j AS (SELECT a.seg AS a, b.seg AS b, a.bx - a.ax AS rx, a.b_y - a.ay AS ry, b.bx - b.ax AS sx, b.b_y - b.ay AS sy, b.ax - a.ax AS qx, b.ay - a.ay AS qy FROM s a JOIN s b ON a.seg < b.seg AND b.seg < 60),
-k AS (SELECT a, b, (qx * sy - qy * sx) / (rx * sy - ry * sx) AS t, (qx * ry - qy * rx) / (rx * sy - ry * sx) AS u FROM j WHERE rx * sy - ry * sx <> 0)
-SELECT a, b FROM k WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1""",
-)
-def segment_crossings(spark: SparkSession, d: str) -> DataFrame:
-    """Crossing pairs among the first segments (all pairs of a fixed, small set)."""
-    s = _segments(spark, d).where("seg < 60")
-    a, b = s.select(*[F.col(c).alias(f"{c}1") for c in s.columns]), s
-    x = geo.segment_intersection(*[F.col(c) for c in ("ax1", "ay1", "bx1", "by1", "ax", "ay", "bx", "by")], 0.0)
-    return a.join(b, F.col("seg1") < F.col("seg")).where(x.isNotNull()).select(F.col("seg1").alias("a"), F.col("seg").alias("b"))
-
-
 _LL = "SELECT c_custkey AS id, (c_custkey % 360) - 180.0 AS lon, c_acctbal / 120 AS lat FROM customer"
 
 
@@ -71,20 +33,6 @@ def _lonlat(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("id"), ((F.col("c_custkey") % 360) - 180.0).alias("lon"), (F.col("c_acctbal") / 120).alias("lat"))
 
 
-@register(
-    "planar_distances",
-    f"""WITH p AS ({_LL}), q AS (SELECT *, lead(lon) OVER (ORDER BY id) AS lon2, lead(lat) OVER (ORDER BY id) AS lat2 FROM p WHERE id % 7 = 0)
-SELECT id, round(sqrt(pow((lon - lon2) * 111320 * cos(radians((lat + lat2) / 2)), 2) + pow((lat - lat2) * 111320, 2)), 3) AS mean_lat,
-  round(sqrt(pow((lon - lon2) * 111320 * cos(radians(lat)), 2) + pow((lat - lat2) * 111320, 2)), 3) AS first_lat,
-  round(sqrt(pow((lon - lon2) * 111.32 * cos(radians(lat)), 2) + pow((lat - lat2) * 110.54, 2)), 6) AS km FROM q WHERE lon2 IS NOT NULL""",
-)
-def planar_distances(spark: SparkSession, d: str) -> DataFrame:
-    p = _lonlat(spark, d).where("id % 7 = 0")
-    nxt = p.select((F.col("id") - 7).alias("id"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
-    args = [F.col(c) for c in ("lon", "lat", "lon2", "lat2")]
-    return p.join(nxt, "id").select("id", F.round(geo.distance_mean_lat(*args), 3).alias("mean_lat"), F.round(geo.distance_first_lat(*args), 3).alias("first_lat"), F.round(geo.distance_km(*args), 6).alias("km"))
-
-
 @register("frame_projection", f"WITH p AS ({_LL}) SELECT id, round((lon - 10.0) * 111320 * cos(radians(20.0)), 4) AS x, round((lat - 20.0) * 111320, 4) AS y, round(1 - pow(lat * 3.14159265358979 / 180, 2) / 2 + pow(lat * 3.14159265358979 / 180, 4) / 24, 9) AS cheap_cos FROM p")
 def frame_projection(spark: SparkSession, d: str) -> DataFrame:
     f = geo.frame_of(0, 10, 20, 30)
@@ -99,30 +47,6 @@ def grid_cells(spark: SparkSession, d: str) -> DataFrame:
     return g.agg(F.count("*").alias("n"), (F.count_distinct(geo.cell_trunc(F.col("lat"), 3)) * 60).alias("run_m"))
 
 
-@register(
-    "coverage_windows",
-    f"""WITH c AS (SELECT DISTINCT floor(lon / 10)::INTEGER AS cx, floor(lat / 10)::INTEGER AS cy FROM ({_LL}) WHERE id % 11 = 0),
-p AS (SELECT DISTINCT cx + dx AS cx, cy + dy AS cy FROM c, (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dy)),
-r AS (SELECT *, cx - row_number() OVER (PARTITION BY cy ORDER BY cx) AS g FROM p)
-SELECT min(cx) * 10.0::DOUBLE AS west, cy * 10.0::DOUBLE AS south, (max(cx) + 1) * 10.0::DOUBLE AS east, (cy + 1) * 10.0::DOUBLE AS north FROM r GROUP BY cy, g""",
-)
-def coverage_windows(spark: SparkSession, d: str) -> DataFrame:
-    return etl.coverage_windows(_lonlat(spark, d).where("id % 11 = 0"), 10.0)
-
-
-@register(
-    "box_overlap",
-    """WITH b AS (SELECT c_nationkey AS k, min(c_custkey) AS w, max(c_custkey) - 40 AS e, min(c_acctbal) AS s, max(c_acctbal) AS n FROM customer WHERE c_custkey % 40 < 3 GROUP BY c_nationkey)
-SELECT a.k AS a, b.k AS b FROM b a JOIN b ON a.k < b.k AND a.w <= b.e AND b.w <= a.e AND a.s <= b.n AND b.s <= a.n""",
-)
-def box_overlap(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").where("c_custkey % 40 < 3")
-    b = c.groupBy(F.col("c_nationkey").alias("k")).agg(F.min("c_custkey").alias("w"), (F.max("c_custkey") - 40).alias("e"), F.min("c_acctbal").alias("s"), F.max("c_acctbal").alias("n"))
-    x = b.select(*[F.col(k).alias(f"{k}1") for k in b.columns])  # 25 nations
-    meet = geo.boxes_meet(*[F.col(k + i) for i in ("1", "") for k in ("w", "s", "e", "n")])
-    return x.join(b, (F.col("k1") < F.col("k")) & meet).select(F.col("k1").alias("a"), F.col("k").alias("b"))
-
-
 _TRACK = "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INTEGER AS seq, day(ts) * 24.0 + hour(ts) AS x, value AS y FROM events"
 
 
@@ -144,13 +68,6 @@ def sharpest_turns(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("user_id").agg(F.round(F.max("turn"), 6).alias("max_turn"), F.sum((F.col("turn") > 25).cast("bigint")).alias("spikes"))
 
 
-@register("gaussian_series", f"""WITH t AS ({_TRACK}), k(d) AS (SELECT unnest(range(-3, 4)))
-SELECT a.user_id, a.seq, round(sum(b.y * exp(-d * d / 2.0)) / sum(exp(-d * d / 2.0)), 6) AS smooth FROM t a, k JOIN t b ON b.user_id = a.user_id AND b.seq = a.seq + d WHERE a.seq <= 40 GROUP BY a.user_id, a.seq""")
-def gaussian_series(spark: SparkSession, d: str) -> DataFrame:
-    g = lines.gaussian_series(_track(spark, d), ["user_id"], "seq", "y", 1.0)
-    return g.where("seq <= 40").select("user_id", "seq", F.round("smooth", 6).alias("smooth"))
-
-
 @register("window_runs", """WITH o AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity > 10 AS keep, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem),
 f AS (SELECT l_orderkey, i, i - row_number() OVER (PARTITION BY l_orderkey ORDER BY i) AS g FROM o WHERE keep)
 SELECT l_orderkey, min(i)::INTEGER AS first, max(i)::INTEGER AS last FROM f GROUP BY l_orderkey, g""")
@@ -242,18 +159,6 @@ def class_rides(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", modes.rides_on(kind, track).alias("rides"), modes.pattern_layer(kind).alias("layer"))
 
 
-@register("acts_index", "SELECT l_orderkey, CASE WHEN count(*) FILTER (l_returnflag = 'R') > 0 THEN '' ELSE string_agg(l_linestatus || l_partkey || '=' || lpad(k::VARCHAR, 2, '0'), ',' ORDER BY l_partkey, l_linestatus) END AS ridx FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linestatus, l_returnflag, l_partkey % 50 AS k FROM lineitem WHERE l_linenumber <= 2) GROUP BY l_orderkey HAVING count(*) = count(DISTINCT l_partkey || l_linestatus)")
-def acts_index(spark: SparkSession, d: str) -> DataFrame:
-    """Route ids with a separator in them make the index empty."""
-    li = table(spark, d, "lineitem").where("l_linenumber <= 2").select("l_orderkey", "l_partkey", "l_linestatus", "l_returnflag", (F.col("l_partkey") % 50).cast("int").alias("k")).distinct()
-    one = li.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_distinct(F.concat("l_partkey", "l_linestatus")).alias("m"), F.array_sort(F.collect_list(F.struct("l_partkey", "l_linestatus", "l_returnflag", "k"))).alias("s"))
-    ids = F.transform("s", lambda x: F.concat(x["l_linestatus"], x["l_partkey"].cast("string"), F.when(x["l_returnflag"] == "R", ";").otherwise("")))
-    idx = F.transform("s", lambda x: x["k"])
-    pairs = F.transform(F.arrays_zip(ids.alias("r"), idx.alias("k")), lambda x: F.concat(x["r"], F.lit("="), F.lpad(x["k"].cast("string"), 2, "0")))
-    safe = props.acts_index(ids, idx) != ""
-    return one.where("n = m").select("l_orderkey", F.when(safe, F.array_join(pairs, ",")).otherwise("").alias("ridx"))
-
-
 @register("active_routes", "WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_shipdate::DATE - DATE '1970-01-01') % 24 AS h FROM lineitem) SELECT l_orderkey, count(*) FILTER (h <= 11) AS on_routes, count(*) AS routes FROM s GROUP BY l_orderkey")
 def active_routes(spark: SparkSession, d: str) -> DataFrame:
     """Each line runs from its own hour on; which run at eleven on a Monday."""
@@ -325,47 +230,41 @@ def kind_codes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", props.kind_code(k).alias("code"))
 
 
-# The same operators over whole tables, without the subsets that the queries of the same names above and their SQL take.
-
-_THIRD = " WHERE vec_id % 3 = 0"
-_WHOLE_SEGS, _WHOLE_PAIR = _SEGS.replace(_THIRD, ""), _PAIR.replace(_THIRD, "")
-
-
-def _whole_segments(spark: SparkSession, d: str) -> DataFrame:
+def _segments(spark: SparkSession, d: str) -> DataFrame:
     at = lambda i, n: F.col("embedding")[i].cast("double").alias(n)
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("seg"), at(2, "ax"), at(3, "ay"), at(4, "bx"), at(5, "by"))
 
 
-@register("near_lines_whole", f"{_WHOLE_PAIR} SELECT id, seg, round(dist, 9) AS dist FROM d WHERE dist <= 0.02")
-def near_lines_whole(spark: SparkSession, d: str) -> DataFrame:
-    j = spatial.near_segments(_points(spark, d), _whole_segments(spark, d), 0.02)
+@register("near_lines", f"{_PAIR} SELECT id, seg, round(dist, 9) AS dist FROM d WHERE dist <= 0.02")
+def near_lines(spark: SparkSession, d: str) -> DataFrame:
+    j = spatial.near_segments(_points(spark, d), _segments(spark, d), 0.02)
     return j.select("id", F.col("seg_r").alias("seg"), F.round("dist", 9).alias("dist"))
 
 
-@register("nearest_line_whole", f"{_WHOLE_PAIR} SELECT id, arg_min(seg, (dist, seg)) AS seg, round(min(dist), 9) AS dist FROM d WHERE dist <= 0.05 GROUP BY id")
-def nearest_line_whole(spark: SparkSession, d: str) -> DataFrame:
-    j = spatial.near_segments(_points(spark, d), _whole_segments(spark, d), 0.05).select("id", F.col("seg_r").alias("seg"), "dist")
+@register("nearest_line", f"{_PAIR} SELECT id, arg_min(seg, (dist, seg)) AS seg, round(min(dist), 9) AS dist FROM d WHERE dist <= 0.05 GROUP BY id")
+def nearest_line(spark: SparkSession, d: str) -> DataFrame:
+    j = spatial.near_segments(_points(spark, d), _segments(spark, d), 0.05).select("id", F.col("seg_r").alias("seg"), "dist")
     return spatial.nearest(j, ["id"], ["seg"]).select("id", "seg", F.round("dist", 9).alias("dist"))
 
 
-@register("ink_retention_whole", f"{_WHOLE_PAIR} SELECT label, count(*) AS samples, sum(CASE WHEN near THEN 1 ELSE 0 END)::BIGINT AS hits FROM (SELECT e.label, coalesce(min(d.dist) <= 0.02, false) AS near FROM embeddings e JOIN d ON d.id = e.vec_id GROUP BY e.vec_id, e.label) GROUP BY label")
-def ink_retention_whole(spark: SparkSession, d: str) -> DataFrame:
+@register("ink_retention", f"{_PAIR} SELECT label, count(*) AS samples, sum(CASE WHEN near THEN 1 ELSE 0 END)::BIGINT AS hits FROM (SELECT e.label, coalesce(min(d.dist) <= 0.02, false) AS near FROM embeddings e JOIN d ON d.id = e.vec_id GROUP BY e.vec_id, e.label) GROUP BY label")
+def ink_retention(spark: SparkSession, d: str) -> DataFrame:
     pts = _points(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
-    return spatial.coverage_share(pts, _whole_segments(spark, d), 0.02, ["label"], ["id"]).select("label", "samples", "hits")
+    return spatial.coverage_share(pts, _segments(spark, d), 0.02, ["label"], ["id"]).select("label", "samples", "hits")
 
 
 @register(
-    "segment_crossings_whole",
-    f"""WITH s AS ({_WHOLE_SEGS}), j AS (SELECT a.seg AS a, b.seg AS b, a.bx - a.ax AS rx, a.b_y - a.ay AS ry, b.bx - b.ax AS sx, b.b_y - b.ay AS sy, b.ax - a.ax AS qx, b.ay - a.ay AS qy FROM s a JOIN s b ON a.seg < b.seg),
+    "segment_crossings",
+    f"""WITH s AS ({_SEGS}), j AS (SELECT a.seg AS a, b.seg AS b, a.bx - a.ax AS rx, a.b_y - a.ay AS ry, b.bx - b.ax AS sx, b.b_y - b.ay AS sy, b.ax - a.ax AS qx, b.ay - a.ay AS qy FROM s a JOIN s b ON a.seg < b.seg),
 k AS (SELECT a, b, (qx * sy - qy * sx) / (rx * sy - ry * sx) AS t, (qx * ry - qy * rx) / (rx * sy - ry * sx) AS u FROM j WHERE rx * sy - ry * sx <> 0)
 SELECT a, b FROM k WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1""",
 )
-def segment_crossings_whole(spark: SparkSession, d: str) -> DataFrame:
+def segment_crossings(spark: SparkSession, d: str) -> DataFrame:
     """Crossing pairs among all segments. Pairs meet in the cells of their boxes and count in the first cell they share."""
     size, slack = 0.1, 1e-9
     lo = lambda p, q: F.floor((F.least(p, q) - slack) / size).cast("bigint")
     hi = lambda p, q: F.floor((F.greatest(p, q) + slack) / size).cast("bigint")
-    s = _whole_segments(spark, d).withColumns({"i0": lo("ax", "bx"), "j0": lo("ay", "by")})
+    s = _segments(spark, d).withColumns({"i0": lo("ax", "bx"), "j0": lo("ay", "by")})
     s = s.withColumn("i", F.explode(F.sequence("i0", hi("ax", "bx")))).withColumn("j", F.explode(F.sequence("j0", hi("ay", "by"))))
     a = s.select(*[F.col(c).alias(f"{c}1") for c in s.columns])
     first = (F.col("i") == F.greatest("i0", "i01")) & (F.col("j") == F.greatest("j0", "j01"))
@@ -375,13 +274,13 @@ def segment_crossings_whole(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register(
-    "planar_distances_whole",
+    "planar_distances",
     f"""WITH p AS ({_LL}), q AS (SELECT *, lead(lon) OVER (ORDER BY id) AS lon2, lead(lat) OVER (ORDER BY id) AS lat2 FROM p)
 SELECT id, round(sqrt(pow((lon - lon2) * 111320 * cos(radians((lat + lat2) / 2)), 2) + pow((lat - lat2) * 111320, 2)), 3) AS mean_lat,
   round(sqrt(pow((lon - lon2) * 111320 * cos(radians(lat)), 2) + pow((lat - lat2) * 111320, 2)), 3) AS first_lat,
   round(sqrt(pow((lon - lon2) * 111.32 * cos(radians(lat)), 2) + pow((lat - lat2) * 110.54, 2)), 6) AS km FROM q WHERE lon2 IS NOT NULL""",
 )
-def planar_distances_whole(spark: SparkSession, d: str) -> DataFrame:
+def planar_distances(spark: SparkSession, d: str) -> DataFrame:
     p = ranking.running_total(_lonlat(spark, d).withColumn("one", F.lit(1)), ["id"], "one", "at")
     nxt = p.select((F.col("at") - 1).alias("at"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
     args = [F.col(c) for c in ("lon", "lat", "lon2", "lat2")]
@@ -389,22 +288,22 @@ def planar_distances_whole(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register(
-    "coverage_windows_whole",
+    "coverage_windows",
     f"""WITH c AS (SELECT DISTINCT floor(lon / 10)::INTEGER AS cx, floor(lat / 10)::INTEGER AS cy FROM ({_LL})),
 p AS (SELECT DISTINCT cx + dx AS cx, cy + dy AS cy FROM c, (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dy)),
 r AS (SELECT *, cx - row_number() OVER (PARTITION BY cy ORDER BY cx) AS g FROM p)
 SELECT min(cx) * 10.0::DOUBLE AS west, cy * 10.0::DOUBLE AS south, (max(cx) + 1) * 10.0::DOUBLE AS east, (cy + 1) * 10.0::DOUBLE AS north FROM r GROUP BY cy, g""",
 )
-def coverage_windows_whole(spark: SparkSession, d: str) -> DataFrame:
+def coverage_windows(spark: SparkSession, d: str) -> DataFrame:
     return etl.coverage_windows(_lonlat(spark, d), 10.0)
 
 
 @register(
-    "box_overlap_whole",
+    "box_overlap",
     """WITH b AS (SELECT c_nationkey AS k, min(c_custkey) AS w, max(c_custkey) - 40 AS e, min(c_acctbal) AS s, max(c_acctbal) AS n FROM customer GROUP BY c_nationkey)
 SELECT a.k AS a, b.k AS b FROM b a JOIN b ON a.k < b.k AND a.w <= b.e AND b.w <= a.e AND a.s <= b.n AND b.s <= a.n""",
 )
-def box_overlap_whole(spark: SparkSession, d: str) -> DataFrame:
+def box_overlap(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
     b = c.groupBy(F.col("c_nationkey").alias("k")).agg(F.min("c_custkey").alias("w"), (F.max("c_custkey") - 40).alias("e"), F.min("c_acctbal").alias("s"), F.max("c_acctbal").alias("n"))
     x = b.select(*[F.col(k).alias(f"{k}1") for k in b.columns])  # 25 nations
@@ -412,15 +311,15 @@ def box_overlap_whole(spark: SparkSession, d: str) -> DataFrame:
     return x.join(b, (F.col("k1") < F.col("k")) & meet).select(F.col("k1").alias("a"), F.col("k").alias("b"))
 
 
-@register("gaussian_series_whole", f"""WITH t AS ({_TRACK}), k(d) AS (SELECT unnest(range(-3, 4)))
+@register("gaussian_series", f"""WITH t AS ({_TRACK}), k(d) AS (SELECT unnest(range(-3, 4)))
 SELECT a.user_id, a.seq, round(sum(b.y * exp(-d * d / 2.0)) / sum(exp(-d * d / 2.0)), 6) AS smooth FROM t a, k JOIN t b ON b.user_id = a.user_id AND b.seq = a.seq + d GROUP BY a.user_id, a.seq""")
-def gaussian_series_whole(spark: SparkSession, d: str) -> DataFrame:
+def gaussian_series(spark: SparkSession, d: str) -> DataFrame:
     g = lines.gaussian_series(_track(spark, d), ["user_id"], "seq", "y", 1.0)
     return g.select("user_id", "seq", F.round("smooth", 6).alias("smooth"))
 
 
-@register("acts_index_whole", "SELECT l_orderkey, CASE WHEN bool_or(r) THEN '' ELSE string_agg(l_linestatus || l_partkey || '=' || lpad((l_partkey % 50)::VARCHAR, 2, '0'), ',' ORDER BY l_partkey, l_linestatus) END AS ridx FROM (SELECT l_orderkey, l_partkey, l_linestatus, bool_or(l_returnflag = 'R') AS r FROM lineitem GROUP BY ALL) GROUP BY l_orderkey")
-def acts_index_whole(spark: SparkSession, d: str) -> DataFrame:
+@register("acts_index", "SELECT l_orderkey, CASE WHEN bool_or(r) THEN '' ELSE string_agg(l_linestatus || l_partkey || '=' || lpad((l_partkey % 50)::VARCHAR, 2, '0'), ',' ORDER BY l_partkey, l_linestatus) END AS ridx FROM (SELECT l_orderkey, l_partkey, l_linestatus, bool_or(l_returnflag = 'R') AS r FROM lineitem GROUP BY ALL) GROUP BY l_orderkey")
+def acts_index(spark: SparkSession, d: str) -> DataFrame:
     """Route ids with a separator in them make the index empty; a route named twice in an order is one."""
     li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey", "l_linestatus").agg(F.bool_or(F.col("l_returnflag") == "R").alias("r"))
     one = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_partkey", "l_linestatus", "r"))).alias("s"))

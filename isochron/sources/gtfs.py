@@ -61,10 +61,11 @@ class Feed:
 
     spark: SparkSession
     path: str = ""
-    kind: str = "folder"  # folder, zip or inline
+    kind: str = "folder"  # folder, zip, inline or frames
     names: frozenset[str] = frozenset()
     texts: Mapping[str, str] = field(default_factory=dict)
     strict: bool = False
+    frames: Mapping[str, DataFrame] = field(default_factory=dict)
 
     def has(self, name: str) -> bool:
         return name in self.names
@@ -81,6 +82,9 @@ class Feed:
             return self.spark.createDataFrame([], _schema(cols))
         if self.kind == "inline":
             return self.spark.createDataFrame(list(_parse(io.StringIO(self.texts[name]), cols, self.strict)), _schema(cols))
+        if self.kind == "frames":
+            df = self.frames[name]
+            return df.select(*[F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in cols])
         if self.kind == "zip":
             return self._unzipped(name, cols)
         return self._read(name, cols)
@@ -138,9 +142,12 @@ def _members(names: list[str]) -> dict[str, str]:
     return out
 
 
-def open_feed(spark: SparkSession, source: str | Mapping[str, str], strict: bool = False) -> Feed:
-    """A feed from a folder, a ``.zip`` or a mapping from table name (``.txt`` optional) to CSV text."""
+def open_feed(spark: SparkSession, source: str | Mapping[str, str | DataFrame], strict: bool = False) -> Feed:
+    """A feed from a folder, a ``.zip`` or a mapping from table name (``.txt`` optional) to CSV text, or to a DataFrame."""
     if not isinstance(source, str):
+        if any(isinstance(v, DataFrame) for v in source.values()):
+            frames = {k.removesuffix(".txt"): v for k, v in source.items()}
+            return Feed(spark, "", "frames", frozenset(frames), {}, strict, frames)
         texts = {k.removesuffix(".txt"): v for k, v in source.items()}
         if "routes" not in texts:
             raise FeedError(f"inline feed needs routes.txt; it has {', '.join(sorted(texts)) or 'nothing'}")

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from isochron.plans import catalog, relational, spatial_queries  # noqa: F401
+from isochron.plans import catalog, feed_queries, relational, spatial_queries  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -49,12 +49,3 @@ def test_greedy_match_equals_a_plain_loop(spark):
             used |= {a, b}
             want.add((a, b))
     assert got == want
-
-
-CUT = "acts_index box_overlap components coverage_windows gaussian_series idf_tokens ink_retention near_lines nearest_line planar_distances segment_crossings trunk_key".split()
-
-
-@pytest.mark.parametrize("name", CUT)
-def test_queries_over_subsets_have_one_over_whole_tables(name):
-    """The results of the whole ones are compared by test_query_equals_sql."""
-    assert f"{name}_whole" in catalog.queries() and f"{name}_whole" in catalog.oracle_sql()
