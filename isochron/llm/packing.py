@@ -63,6 +63,7 @@ def _process_cache() -> dict:
 
 #: What may end a sentence; blanks may follow.
 _MARKS = (".", "!", "?", "\n", "\u3002", "\uff01", "\uff1f", "\u2026", "\u061f", "\u06d4", "\u0964", "\u0965", "\u1362", "\u17d4")
+_WIDE = re.compile("[" + "".join(m for m in _MARKS if not m.isascii()) + "]")
 #: Long texts are tokenized in pieces of about so many characters.
 _PIECE_CHARS = 1 << 20
 #: A lone blank between other characters; a token never goes across its left side.
@@ -89,8 +90,12 @@ class Tokens:
         enc = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._encode = lambda text: np.array(enc.encode_ordinary(text), dtype=np.uint32)
         self.size = np.zeros(max([*ranks.values(), *self.added.values()]) + 1, dtype=np.int64)  # bytes of each token
+        self._mark, self._blank = np.zeros((2, len(self.size)), dtype=bool)  # does it end with an ASCII mark, blanks aside; is it all blanks
+        ascii_marks = tuple(m.encode() for m in _MARKS if m.isascii())
         for token, i in [*ranks.items(), *((x.encode(), i) for x, i in self.added.items())]:
             self.size[i] = len(token)
+            self._mark[i] = token.rstrip(b" ").endswith(ascii_marks)
+            self._blank[i] = not token.strip(b" ")
 
     def _plain(self, text: str) -> np.ndarray:
         out, at = [], 0
@@ -108,6 +113,12 @@ class Tokens:
 
     def sentence_ends(self, text: str, ids: np.ndarray) -> np.ndarray:
         """Which tokens end where a sentence does: the text up to there ends with a mark, blanks aside."""
+        if not _WIDE.search(text):  # no token splits an ASCII mark
+            blank = self._blank[ids]
+            if not blank.any():
+                return self._mark[ids]
+            last = np.maximum.accumulate(np.where(blank, -1, np.arange(len(ids))))
+            return (last >= 0) & self._mark[ids[last]]
         raw = np.frombuffer(text.encode(), dtype=np.uint8)
         if not len(raw):
             return np.zeros(len(ids), dtype=bool)
