@@ -34,7 +34,7 @@ from isochron.plans.runtime import cut_lineage
 
 ORDER = 5
 #: Most n-grams in the table that is shipped to the tasks (some 30 bytes each).
-HOT = 1 << 19
+HOT = 1 << 18
 #: Share of a language's trusted documents that its threshold lets pass.
 QUANTILE = 0.995
 #: Trusted ids are broadcast up to this many (8 bytes each); more are joined by a shuffle.
