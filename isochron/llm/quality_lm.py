@@ -21,6 +21,7 @@ as a model flatters the texts it has seen.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from math import inf, log
 
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 
-from isochron.plans.runtime import cut_lineage
+from isochron.plans.runtime import cut_lineage, ensure_checkpoint_dir
 
 ORDER = 5
 #: Most n-grams in the table that is shipped to the tasks (some 30 bytes each).
@@ -48,6 +49,13 @@ RUN_CHARS = 1 << 21
 MODELS = ("a", "f0", "f1")
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder: what checkpoint() does, but compressed by column."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/grams-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Run:
     """Some texts, or a piece of one, as n-gram numbers over the characters that occur."""
 
@@ -213,7 +221,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
         return counts.crossJoin(F.broadcast(whole)).select("g", "n_a", *[interpolated(m, 1.0 / F.col("size")) for m in MODELS])
     tail, head = F.substring("g", 2, order - 1), F.substring("g", 1, order - 1)
     below = counts.groupBy(tail.alias("g")).agg(*[F.sum((n[m] > 0).cast("bigint")).alias(f"n_{m}") for m in MODELS])
-    lower = kneser_ney(cut_lineage(below), order - 1).select(F.col("g").alias("_tail"), *[F.col(f"p_{m}").alias(f"l_{m}") for m in MODELS])
+    lower = kneser_ney(_stored(below), order - 1).select(F.col("g").alias("_tail"), *[F.col(f"p_{m}").alias(f"l_{m}") for m in MODELS])
     contexts = counts.groupBy(head.alias("_head")).agg(*context)
     joined = counts.join(contexts, head == F.col("_head")).join(lower, tail == F.col("_tail"))
     return joined.select("g", "n_a", *[interpolated(m, F.col(f"l_{m}")) for m in MODELS])
@@ -271,7 +279,7 @@ def perplexities(docs: DataFrame, model: DataFrame, keep: tuple[str, ...], order
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     part = docs.select(*keep, text_col, F.col(fold_col).cast("int").alias(fold_col)).mapInArrow(run, f"{types}, _f bigint, {_SCORED}")
     # the row's number and, in its last two bits, the model that scores it held out
-    part = cut_lineage(part.withColumn("_row", F.monotonically_increasing_id() * 4 + F.col("_f") + 1).drop("_f"))
+    part = _stored(part.withColumn("_row", F.monotonically_increasing_id() * 4 + F.col("_f") + 1).drop("_f"))
     rows = part.select("_row", F.explode("cold").alias("c")).select("_row", "c.g", "c.n")
     met = rows.join(logs.drop("n_a"), "g")
     theirs = F.when(F.col("_row") % 4 == 1, F.col("f1")).when(F.col("_row") % 4 == 2, F.col("f0")).otherwise(F.col("a"))
@@ -315,7 +323,7 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, or
     marked = F.broadcast(marked) if few else marked.hint("shuffle_hash")
     folded = docs.select("doc_id", "lang", "text").join(marked, F.col("doc_id") == F.col("_id"), "left")
     folded = folded.select("doc_id", "lang", "text", F.when(F.col("_own"), F.pmod(F.xxhash64("doc_id"), F.lit(2))).alias("_fold"))
-    model = cut_lineage(kneser_ney(cut_lineage(count_grams(folded, order)), order))
+    model = _stored(kneser_ney(_stored(count_grams(folded, order)), order))
     scored = perplexities(folded.withColumn("_trusted", F.col("_fold").isNotNull()), model, ("doc_id", "lang", "_trusted"), order, hot)
     scored = cut_lineage(scored)  # a few numbers a row
     good = scored.where("_trusted AND perplexity IS NOT NULL").select(F.coalesce("lang", F.lit("")).alias("_lang"), "held_out")
