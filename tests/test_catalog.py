@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from isochron.plans import catalog, feed_queries, relational, spatial_queries  # noqa: F401
+from isochron.plans import catalog, feed_queries, network_queries, relational, spatial_queries  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
