@@ -63,8 +63,10 @@ def route_filter(routes: DataFrame, edges: DataFrame) -> DataFrame:
     """The routes that some edge names, with or without a feed prefix."""
     from isochron.functions import names
 
-    used = edges.select(F.explode("routes").alias("r")).distinct()
-    return routes.join(used, (F.col("route_id") == F.col("r")) | (names.bare_id(F.col("route_id")) == F.col("r")), "left_semi")
+    used = edges.select(F.explode("routes").alias("_r")).distinct()
+    either = F.explode(F.array_distinct(F.array("route_id", names.bare_id(F.col("route_id")))))
+    named = routes.select("route_id", either.alias("_r")).join(used, "_r", "left_semi").select("route_id")
+    return routes.join(named, "route_id", "left_semi")
 
 
 def edge_masks(edges: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 
-from isochron.operators import corridor, dynamic, lines, mapmatch, network, score, service
+from isochron.operators import corridor, dynamic, lines, mapmatch, network, score, service, similarity
 from isochron.plans.execute import run_plan
 
 
@@ -85,3 +85,30 @@ def test_plan_skips_resumes_and_cascades():
     assert again.skipped == ["H", "a"] and not again.built
 
 
+
+
+def _greedy(rows):
+    left, right, out = set(), set(), set()
+    for s, a, b in sorted(rows, key=lambda r: (-r[0], r[1], r[2])):
+        if a not in left and b not in right:
+            left.add(a)
+            right.add(b)
+            out.add((a, b, s))
+    return out
+
+
+def test_assignment_is_the_same_where_large_components_go_in_rounds(spark):
+    rng = np.random.default_rng(4)
+    rows = {(int(a), int(b)): float(s) for a, b, s in zip(rng.integers(0, 30, 120), rng.integers(0, 30, 120), rng.integers(0, 6, 120), strict=True)}  # ties abound
+    cands = spark.createDataFrame([(a, b, s) for (a, b), s in rows.items()], "a bigint, b bigint, score double")
+    want = _greedy([(s, a, b) for (a, b), s in rows.items()])
+    for most in (10, 1_000_000):
+        got = [tuple(r) for r in similarity.greedy_assignment(cands, most=most).select("a", "b", "score").collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert similarity.greedy_assignment(cands.limit(0), most=10).count() == 0
+
+
+def test_routes_named_with_or_without_prefix(spark):
+    routes = spark.createDataFrame([("f1:x",), ("y",), ("z",), ("f2:y",)], "route_id string")
+    edges = spark.createDataFrame([(["x", "y"],), (["f2:y", "x"],)], "routes array<string>")
+    assert sorted(r[0] for r in corridor.route_filter(routes, edges).collect()) == ["f1:x", "f2:y", "y"]
