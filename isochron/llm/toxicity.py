@@ -21,7 +21,7 @@ import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import log
+from math import log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -270,7 +270,13 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def learn_terms(texts: list[str], toxic: list[bool]) -> dict[str, float]:
-    """Words far likelier in toxic texts than in others, with their weight; near copies of a text count once."""
+    """Words far likelier in toxic texts than in others, with their weight; near copies of a text count once.
+
+    A word's toxic texts count less their standard error, as a word of few texts
+    may be there by chance. Of words under four letters, which any text has many
+    of, the likelihood of the counts under rates of their own must exceed that
+    under one rate by more than the number of words looked at.
+    """
     seen: list[int] = []
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     total = [0, 0]
@@ -283,8 +289,14 @@ def learn_terms(texts: list[str], toxic: list[bool]) -> dict[str, float]:
         total[y] += 1
         counts[y].update({w for w in _WORD.findall(text.lower()) if len(w) >= LEAST_LETTERS or (len(w) == 2 and w >= _SYLLABLES)})
     least = max(3, LEAST_SHARE * total[1])
-    ratio = lambda w: (counts[1][w] / (total[1] + 1)) / ((counts[0][w] + 0.5) / (total[0] + 1))
-    return {w: min(3.0, log(ratio(w))) for w, n in sorted(counts[1].items()) if n >= least and ratio(w) >= LEAST_RATIO}
+    ratio = lambda w: ((counts[1][w] - sqrt(counts[1][w])) / (total[1] + 1)) / ((counts[0][w] + 0.5) / (total[0] + 1))
+    looked_at = log(max(1, len(counts[0].keys() | counts[1].keys())))
+
+    def beyond_chance(w: str) -> bool:
+        n = [counts[0][w], counts[1][w]]
+        return len(w) > 3 or sum(n[k] * log(n[k] * sum(total) / (sum(n) * total[k])) for k in (0, 1) if n[k]) > looked_at
+
+    return {w: min(3.0, log(ratio(w))) for w, n in sorted(counts[1].items()) if n >= least and ratio(w) >= LEAST_RATIO and beyond_chance(w)}
 
 
 def fit(rows: list[tuple[str, int]], terms: dict[str, float] | None = None) -> ToxicityModel:
