@@ -215,7 +215,7 @@ def snap_to_ribbons(stations: DataFrame, segs: DataFrame, reach: float = 150.0)
     ``stations``: station, x, y, routes; ``segs``: seg, route, ax, ay, bx, by of the widest band.
     """
     pts = stations.select("station", "x", "y", F.explode("routes").alias("route"))
-    pairs = spatial.near_segments(pts, segs, reach, ["route"])
+    pairs = spatial.nearest_segment(pts, segs, reach, ["seg"], ["route"])
     best = spatial.nearest(pairs, ["station", "route"], ["seg_r"])
     return best.select(
         "station", "route", "dist", "t",

@@ -1,12 +1,13 @@
 """Station grouping, ranking and matching, feed groups, planning and scoring."""
 
 import math
+import random
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from isochron.functions import geo, names
-from isochron.operators import feeds, score, stations
+from isochron.operators import feeds, score, spatial, stations
 
 STOP = "stop_id string, name string, lon double, lat double, parent string"
 
@@ -90,6 +91,18 @@ def test_snapping_and_clusters(spark):
     assert [r["routes"] for r in stations.cluster_snaps(snaps).orderBy("marker").collect()] == [["a", "b"], ["c"]]
 
 
+def test_snaps_are_found_without_all_pairs(spark, monkeypatch):
+    r = random.Random(9)
+    segs = spark.createDataFrame([(i, f"r{i % 3}", *(r.gauss(0, 50) for _ in range(4))) for i in range(600)], "seg int, route string, ax double, ay double, bx double, by double")
+    st = spark.createDataFrame([(i, r.gauss(0, 50), r.gauss(0, 50), [f"r{i % 3}", f"r{(i + 1) % 3}"]) for i in range(300)], "station int, x double, y double, routes array<string>")
+    made, near = [], spatial.near_segments
+    monkeypatch.setattr(spatial, "near_segments", lambda *a: made.append(near(*a)) or made[-1])
+    got = {(x["station"], x["route"]): x["dist"] for x in stations.snap_to_ribbons(st, segs).collect()}
+    assert len(made) > 1 and sum(m.count() for m in made) < 600 * 200 / 4
+    want = near(st.select("station", "x", "y", F.explode("routes").alias("route")), segs, 150.0, ["route"]).groupBy("station", "route").agg(F.min("dist").alias("d"))
+    assert got == {(x["station"], x["route"]): x["d"] for x in want.collect()} and len(got) == 600
+
+
 def feed_samples(spark):
     """Straight feeds: a and b share 1.5 km, c and d 300 m, f is nearly e, g is wide and shares with a, h is not drawn."""
     lon = lambda m: m / 111_320
