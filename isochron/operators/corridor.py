@@ -153,7 +153,9 @@ def station_patterns(edges: DataFrame, stops: DataFrame, reach: float = 120.0) -
     """(route_id, stop_ids): stops (stop_id, x, y) within reach of the segments (route_id, edge, at, ax, ay, bx, by) of a route, by place along it."""
     from isochron.operators import spatial
 
-    near = spatial.near_segments(stops, edges, reach).select(F.col("route_id_r").alias("route_id"), "stop_id", "dist", (F.col("at_r") + F.col("t") * F.hypot(F.col("bx_r") - F.col("ax_r"), F.col("by_r") - F.col("ay_r"))).alias("arc"))
+    arc = F.col("at_r") + F.col("t") * F.hypot(F.col("bx_r") - F.col("ax_r"), F.col("by_r") - F.col("ay_r"))
+    asked = spatial.near_groups(stops, edges, reach, "route_id")
+    near = spatial.nearest_segment(asked, edges, reach, ["at"], ["route_id"], arc).select("route_id", "stop_id", "dist", arc.alias("arc"))
     best = spatial.nearest(near, ["route_id", "stop_id"], ["arc"])
     g = best.groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("arc", "stop_id"))).alias("s"))
     return g.select("route_id", F.transform("s", lambda x: x["stop_id"]).alias("stop_ids"))

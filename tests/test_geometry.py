@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from isochron.functions import geo
-from isochron.operators import components, lines, patterns, similarity, spatial, tables
+from isochron.operators import components, corridor, lines, patterns, similarity, spatial, tables
 
 
 def points(n, seed, span=100.0):
@@ -70,6 +70,26 @@ def test_nearest_segment_equals_all_pairs_with_few_of_them(spark, monkeypatch):
     assert got.keys() == brute.keys() and all(abs(got[i][1] - brute[i]) < 1e-9 for i in got)
 
 
+def test_station_patterns_equal_all_pairs_with_few_of_them(spark, monkeypatch):
+    pts, segs, dp, ds = crowded(spark)
+    made = []
+    near = spatial.near_segments
+    monkeypatch.setattr(spatial, "near_segments", lambda *a: made.append(near(*a)) or made[-1])
+    edges = ds.selectExpr("concat('r', abs(seg) % 3) AS route_id", "seg AS edge", "seg / 7.0D AS at", "ax", "ay", "bx", "by")
+    got = {r["route_id"]: r["stop_ids"] for r in corridor.station_patterns(edges, dp.withColumnRenamed("id", "stop_id"), 12.0).collect()}
+    assert len(made) > 1 and sum(m.count() for m in made) < len(pts) * len(segs) / 2
+    best = {}
+    for i, x, y in pts:
+        for s, ax, ay, bx, by in segs:
+            if None not in (x, ax) and x == x:
+                n = (bx - ax) ** 2 + (by - ay) ** 2
+                t = max(0.0, min(1.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / n)) if n else 0.0
+                d = math.hypot(x - (ax + t * (bx - ax)), y - (ay + t * (by - ay)))
+                if d <= 12:
+                    best[f"r{abs(s) % 3}", i] = min(best.get((f"r{abs(s) % 3}", i), (13, 0)), (d, s / 7 + t * math.hypot(bx - ax, by - ay)))
+    assert got == {r: [i for _, i in sorted((arc, i) for (k, i), (_, arc) in best.items() if k == r)] for r in {k for k, _ in best}}
+
+
 def test_components_equal_union_find(spark):
     r = random.Random(5)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(60)] + [(999, i) for i in range(1000, 1080)] + [(7, 7), (None, 3)]
